@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, line_clean, token_cache, url_reputation
+from concordat.llm import bpe, exact_stream, line_clean, simhash, token_cache, url_reputation
 from concordat.llm.shared import scratch, table
 
 BPE_50K = "byte_bpe_50k.json"
@@ -39,6 +39,15 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_stream.duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path(BPE_50K)
@@ -46,7 +55,7 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op5_line_rules, op9_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op5_line_rules, op7_simhash, op8_exact_stream, op9_bpe_lexicon)}
 
 
 def _quoted(values: tuple[str, ...]) -> str:
@@ -126,4 +135,9 @@ select doc_id, n_words::bigint as n_words, total::bigint as word_chars, symbols:
 from counts"""
 
 
-ORACLE_SQL = {"op1_url_reputation": _url_sql(), "op5_line_rules": _line_sql()}
+_EXACT_SQL = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+  row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))"""
+
+ORACLE_SQL = {"op1_url_reputation": _url_sql(), "op5_line_rules": _line_sql(), "op8_exact_stream": _EXACT_SQL}
