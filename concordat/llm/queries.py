@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, exact_stream, line_clean, simhash, token_cache, url_reputation
+from concordat.llm import bpe, exact_stream, langid, line_clean, mixing, pseudonym, simhash, token_cache, url_reputation, warc
 from concordat.llm.shared import scratch, table
 
 BPE_50K = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ URL_OPTIONS = {"two_label": (*url_reputation.TWO_LABEL_SUFFIXES, *HOSTED), "max_
 #: A page's path names the document that was made of it.
 DOCUMENT_OF_PAGE = "^/[^/]*/([0-9]{1,18})(?:[^0-9]|$)"
 
+LANGUAGES = ("en", "fr", "de", "es")
+MIX = {"entropy": 0.9, "repetition": 2.0, "budget": "cover"}
+#: A fixed key keeps runs comparable; production passes a secret of its own.
+PII_KEY = b"concordat: a key for comparable runs"
+
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -34,11 +39,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.plan(docs, **MIX))
+
+
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonym.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return rows.select("doc_id", "text", "spans", F.size("spans").cast("bigint").alias("n_values"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_clean.clean_lines(table(spark, sf_dir, "documents"))
     return rows.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build(warc.as_responses(table(spark, sf_dir, "pages"), carry=("page_id",)), carry=("page_id",))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +74,20 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op5_line_rules, op7_simhash, op8_exact_stream, op9_bpe_lexicon)}
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), language_evidence(spark, sf_dir), LANGUAGES).withColumn("posterior", F.round("posterior", 6))
+
+
+def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pages made of documents declare about their language."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_reputation.host_of(F.col("url")), url_reputation.path_of(F.col("url"))
+    document = F.regexp_extract(path, DOCUMENT_OF_PAGE, 1).try_cast("bigint")
+    two_label = URL_OPTIONS["two_label"]
+    return langid.page_evidence(pages, document, host, url_reputation.domain_of(host, two_label), url_reputation.suffix_of(host), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op3_temperature_mix, op4_feistel_pii, op5_line_rules, op6_warc_derivatives, op7_simhash, op8_exact_stream, op9_bpe_lexicon, op10_language_fusion)}
 
 
 def _quoted(values: tuple[str, ...]) -> str:
@@ -140,4 +172,49 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
   row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))"""
 
-ORACLE_SQL = {"op1_url_reputation": _url_sql(), "op5_line_rules": _line_sql(), "op8_exact_stream": _EXACT_SQL}
+_MIX_SQL = rf"""
+with recursive docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) as n,
+    ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 8))::bigint as h from documents),
+rows as (select *, h // {1 << 20} as block from docs),
+sources as (select source, sum(n)::double as tokens from rows group by 1),
+share as (select tokens / sum(tokens) over () as p from sources where tokens > 0),
+enough as (select ln(count(*)) * {MIX['entropy']} as e from share),
+even(k, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select k + 1, case when e >= (select e from enough) then mid else lo end, case when e >= (select e from enough) then hi else mid end
+  from (select k, lo, hi, (lo + hi) / 2 as mid, (select ln(sum(power(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(power(p, (lo + hi) / 2) * ln(p)) / sum(power(p, (lo + hi) / 2)) from share) as e from even where k < 40)),
+often(k, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select k + 1, case when r > {MIX['repetition']} then mid else lo end, case when r > {MIX['repetition']} then hi else mid end
+  from (select k, lo, hi, (lo + hi) / 2 as mid, (select max(power(p, (lo + hi) / 2 - 1)) / min(power(p, (lo + hi) / 2 - 1)) from share) as r from often where k < 40)),
+found as (
+  select round_even(greatest(
+    case when (select -sum(p * ln(p)) from share) >= (select e from enough) then 1.0 else (select lo from even where k = 40) end,
+    case when (select max(1 / p) / min(1 / p) from share) <= {MIX['repetition']} then 0.0 else (select lo from often where k = 40) end) * 1e6, 0) / 1e6 as t),
+raised as (select source, tokens, case when tokens > 0 then power(tokens, t) else 0 end as z from sources, found),
+weights as (select source, tokens, coalesce(z / nullif(sum(z) over (), 0), 0) as weight from raised),
+wanted as (select *, greatest(tokens, round_even(coalesce(weight * max(case when weight > 0 then tokens / weight end) over (), 0), 0))::bigint as wanted from weights),
+planned as (select source, tokens::bigint as tokens, weight, wanted, case when tokens > 0 then wanted // tokens::bigint else 1 end as epochs, case when tokens > 0 then wanted % tokens::bigint else 0 end as rest from wanted),
+blocks as (
+  select r.source, block, sum(r.n)::bigint as n, any_value(epochs) as epochs, any_value(rest) as rest from rows r join planned p on r.source is not distinct from p.source group by 1, 2),
+ordered as (
+  select *, ('0x' || substr(md5('17|' || coalesce(source, '') || '|' || epochs || '|' || block), 1, 8))::bigint * 65536 + block as o from blocks),
+summed as (select *, coalesce(sum(n) over (partition by source order by o rows between unbounded preceding and 1 preceding), 0) as before from ordered),
+border as (select source, min(o) as o from summed where before + n > rest group by 1),
+edge as (select s.* from summed s join border b on s.source is not distinct from b.source and s.o = b.o),
+close as (select r.source, h, before, rest, sum(r.n) over (partition by r.source order by h) as so_far from rows r join edge e on r.source is not distinct from e.source and r.block = e.block),
+cut as (select source, max(h) as h from close where before + so_far <= rest group by 1),
+read as (
+  select r.doc_id, r.source, p.weight, p.epochs, r.block, p.wanted, p.tokens,
+    coalesce(o.o < b.o or o.o = b.o and r.h <= coalesce(c.h, -1), false) as partly
+  from rows r join planned p on r.source is not distinct from p.source
+  join ordered o on r.source is not distinct from o.source and r.block = o.block
+  left join border b on r.source is not distinct from b.source left join cut c on r.source is not distinct from c.source)
+select doc_id, source, round(weight, 9) as weight, epoch, block,
+  round((epoch - 1 + ('0x' || substr(md5('17|' || coalesce(source, '') || '|' || epoch || '|' || block), 1, 8))::bigint / 4294967296.0) / ceil(coalesce(wanted::double / nullif(tokens, 0), 1.0)), 9) as position
+from (select *, unnest(generate_series(1, epochs + partly::int)) as epoch from read)"""
+
+ORACLE_SQL = {"op1_url_reputation": _url_sql(), "op3_temperature_mix": _MIX_SQL, "op5_line_rules": _line_sql(), "op8_exact_stream": _EXACT_SQL}
