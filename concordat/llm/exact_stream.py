@@ -26,6 +26,9 @@ from concordat.llm.shared import FILE, ROW, located, scratch, whole, without, wr
 
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Small stores are many: no space is set aside for each, and a commit writes its changes only.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -89,7 +92,10 @@ class ExactDedup:
         """Each row of docs (as ingest returned it): (id, FILE, ROW, digest, stays, n), each hit checked by its full bytes."""
         groups = written(self.state(), "groups")
         shared = groups.filter("n > 1").select("digest", F.col(f"stays.{FILE}").alias("at_file"), F.col(f"stays.{ROW}").alias("at_row"))
-        copies = self._rows(docs).join(shared, "digest")
+        # Short keys first: where they are few Spark broadcasts them, and only the copies' texts ever move.
+        keys = written(shared.select(F.xxhash64("digest").alias("key")), "keys")
+        found = self._rows(docs).withColumn("key", F.xxhash64("digest")).join(keys, "key", "left_semi").drop("key")
+        copies = written(found.join(shared, "digest"), "copies")
         stored = copies.filter((F.col(FILE) == F.col("at_file")) & (F.col(ROW) == F.col("at_row"))).select("digest", F.col("body").alias("stored"))
         hits = copies.filter((F.col(FILE) != F.col("at_file")) | (F.col(ROW) != F.col("at_row")))
         collided = written(hits.join(stored, "digest").filter("body <> stored").select("digest").distinct(), "collided")
