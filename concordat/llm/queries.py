@@ -118,7 +118,7 @@ level as (
   from bare b left join counted c on b.host = c.host),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from level group by 1, 2),
 suffixes as (select suffix, 1 as root, sum(n) as n, sum(k) as k from domains group by 1),
-prior as (select (sum(k) + 0.5) / (sum(n) + 1) as p,
+prior as (select (sum(k) + 0.5) / (sum(n) + 5) as p,
   ({strength.format(child='suffixes', parent='root')}) as ms,
   ({strength.format(child='domains', parent='suffix')}) as md,
   ({strength.format(child='level', parent='domain')}) as mh from suffixes),

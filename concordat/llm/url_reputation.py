@@ -10,7 +10,7 @@ text through a shuffle; the join of verdicts back to a hot host is a sort-merge
 
 Defined results: a null url, or one without "://", has an empty host and path and is judged as the host "" (an own
 group below the suffix ""). Outcomes that are null count as not labelled. Repeated rows count each time. An empty
-outcome table leaves the prior mean 1/2 with the default strength.
+outcome table leaves the prior mean 1/10 (half a bad page in five) with the default strength, which blocks no host.
 """
 
 from __future__ import annotations
@@ -107,6 +107,7 @@ def reputation(
         .join(counted, "host", "left")
         .select(
             "host",
+            F.lit(1).alias("root"),
             domain_of(F.col("host"), two_label).alias("domain"),
             suffix_of(F.col("host"), two_label).alias("suffix"),
             F.coalesce("n", F.lit(0)).alias("n"),
@@ -115,11 +116,11 @@ def reputation(
     )
     level = written(level, "hosts")  # read by every level's strength and mean below
     totals = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    domains = level.groupBy("domain", "suffix").agg(*totals)
-    suffixes = domains.groupBy("suffix").agg(*totals)
+    domains = level.groupBy("domain", "suffix", "root").agg(*totals)
+    suffixes = domains.groupBy("suffix", "root").agg(*totals)
     # One-row results, read as scalar subqueries.
-    mean = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p")).scalar()
-    ms, md, mh = (_strength(df, parent, low, high, default).scalar() for df, parent in ((suffixes.withColumn("root", F.lit(1)), "root"), (domains, "suffix"), (level, "domain")))
+    mean = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 5)).alias("p")).scalar()
+    ms, md, mh = (_strength(df, parent, low, high, default).scalar() for df, parent in ((suffixes, "root"), (domains, "suffix"), (level, "domain")))
     suffix_means = suffixes.withColumns({"ms": ms, "p": mean}).select("suffix", ((F.col("k") + F.col("ms") * F.col("p")) / (F.col("n") + F.col("ms"))).alias("suffix_mean"))
     means = domains.join(suffix_means, "suffix").withColumns({"md": md, "mh": mh}).select("domain", "mh", ((F.col("k") + F.col("md") * F.col("suffix_mean")) / (F.col("n") + F.col("md"))).alias("domain_mean"))
     a, b = F.col("k") + F.col("mh") * F.col("domain_mean"), F.col("n") - F.col("k") + F.col("mh") * (1 - F.col("domain_mean"))
