@@ -17,7 +17,7 @@ an id, each get the result. Null ids are passed over by the smallest id of a com
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,30 @@ def fingerprints(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...]
     return rows.mapInArrow(run, f"{kinds}, fp bigint")
 
 
+def _spread(vectors: list[int], size: int) -> int:
+    """The least number of bits that a key keeps under an assignment of vectors."""
+    return min(sum((x & v).bit_count() % 2 for x in vectors) for v in range(1, size))
+
+
+@lru_cache(maxsize=64)
+def _vectors(bits: int, radius: int) -> tuple[int, ...]:
+    """A nonzero vector of F2^(radius+1) for each of so many bits, such that every key keeps about half of them.
+
+    With as many bits as points of F2^radius, the points themselves behind a leading 1 are a first-order Reed-Muller code,
+    whose words all keep half. Otherwise all vectors are dealt in turn, in the stride that keeps most.
+    """
+    size = 1 << (radius + 1)
+    if bits == size // 2:
+        return tuple(size // 2 + k for k in range(bits))
+    strides = range(1, size - 1) if bits < size - 1 else (1,)
+    dealt = [[1 + k * s % (size - 1) for k in range(bits)] for s in strides]
+    return tuple(max(dealt, key=lambda x: _spread(x, size)))
+
+
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
     """The masks over these bit positions: each pair that differs in at most radius of them agrees under some mask."""
-    size = 1 << (radius + 1)
-    vector = {b: 1 + k % (size - 1) for k, b in enumerate(bits)}
-    return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, size)]
+    vector = dict(zip(bits, _vectors(len(bits), radius)))
+    return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
 
 
 def _signed(mask: int) -> int:
@@ -97,10 +116,13 @@ def _keyed(rows: DataFrame, level: int, radius: int) -> DataFrame:
 
 def local_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(smallest, member) links that connect what is connected among distinct values within the radius."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
     label = np.arange(len(values))
+    step = max(1, (1 << 22) // len(values))  # rows compared at once: bounded memory for any bucket
     while True:
-        new = np.where(near, label[None, :], len(values)).min(axis=1)
+        new = label.copy()
+        for at in range(0, len(values), step):
+            near = np.bitwise_count(values[at : at + step, None] ^ values[None, :]) <= radius
+            new[at : at + step] = np.where(near, label[None, :], len(values)).min(axis=1)
         if (new == label).all():
             break
         label = new

@@ -24,7 +24,7 @@ def test_stages_by_brute_force(spark):
     assert sorted(r.doc_id for r in run("exact").collect()) == sorted(last.values())
     kept = sorted(last.values())
     values = [brute(rows[d].text) for d in kept]
-    roots = test_simhash.brute_roots(values)
+    roots = test_simhash.brute_roots(values, corpus_pipeline.NEAR_RADIUS)
     near = [d for k, d in enumerate(kept) if roots[k] == k]
     assert sorted(r.doc_id for r in run("near").collect()) == near
     assert {r.doc_id for r in run("mix").collect()} == set(near)
@@ -37,7 +37,7 @@ def test_stages_by_brute_force(spark):
 def brute(text):
     from concordat.llm.simhash import fingerprint
 
-    return fingerprint(text, 5) % (1 << 64)
+    return fingerprint(text) % (1 << 64)
 
 
 def test_pipeline_is_a_query(spark):

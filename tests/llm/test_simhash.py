@@ -60,6 +60,28 @@ def test_masks_cover_every_pair(level):
         assert any(not m & differing for m in masks)
 
 
+@pytest.mark.parametrize("radius", [1, 2, 5, 6])
+def test_masks_of_other_radii(radius):
+    random.seed(radius)
+    masks = simhash.covering(list(range(64)), radius)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 24
+    for _ in range(300):
+        differing = sum({1 << b for b in random.sample(range(64), radius)})
+        assert any(not m & differing for m in masks)
+
+
+def test_large_buckets_in_blocks():
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 14, 6000).astype(np.uint64))
+    links = simhash.local_links(values, 1)
+    roots = {b: a for a, b in links}
+    assert len(links) == len(roots) <= len(values) - 1
+    small = values[:300]
+    found = dict((b, a) for a, b in simhash.local_links(small, 3))
+    want = brute_roots([int(x) for x in small])
+    assert [int(found.get(int(x), int(x))) for x in small] == [int(small[k]) for k in want]
+
+
 def test_last_level_is_bounded():
     assert max(64 - m.bit_count() for _, m in simhash._tables(3, 3)) <= 8
 
