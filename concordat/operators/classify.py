@@ -108,5 +108,10 @@ def publication_rank(records: DataFrame, sort: str = "readiness") -> DataFrame:
 def identifiers(records: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """(key, type, identifier) of each identifier column or array, distinct."""
     kinds = dict(records.dtypes)
-    each = [F.transform(F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string")), lambda v, c=c: F.struct(F.lit(c).alias("type"), v.cast("string").alias("identifier"))) for c in columns]
+
+    def typed(c: str) -> Column:
+        found = F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.transform(found, lambda v: F.struct(F.lit(c).alias("type"), v.cast("string").alias("identifier")))
+
+    each = [typed(c) for c in columns]
     return records.select(key, F.explode(F.concat(*each)).alias("x")).select(key, "x.*").filter("identifier <> ''").distinct()

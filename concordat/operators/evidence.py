@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.functions.special import log_sf
+from concordat.functions.special import log_sf, rounded
 from concordat.functions.text import finite, joined
 from concordat.operators.consensus import sign
 from concordat.operators.units import collapse, eligible_rows
@@ -93,8 +93,9 @@ def pairwise(rows: DataFrame) -> DataFrame:
     """Each pair of units: (source_a, source_b, overlap, lfc_spearman, sign_agreement) over the entities that both hold.
 
     The self-join on the entity gives at most units^2/2 rows for each entity. Ranks are averages over ties within a pair.
+    Effects are compared at nine decimals, so that ties don't hang on the order in which a mean was summed.
     """
-    each = rows.select("gene_symbol", "source_unit_id", "lfc")
+    each = rows.select("gene_symbol", "source_unit_id", rounded(F.col("lfc"), 9).alias("lfc"))
     pairs = each.alias("a").join(each.alias("b"), (F.col("a.gene_symbol") == F.col("b.gene_symbol")) & (F.col("a.source_unit_id") < F.col("b.source_unit_id"))).select(F.col("a.source_unit_id").alias("source_a"), F.col("b.source_unit_id").alias("source_b"), F.col("a.lfc").alias("x"), F.col("b.lfc").alias("y"))
     pair = Window.partitionBy("source_a", "source_b")
     for v in ("x", "y"):

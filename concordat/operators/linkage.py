@@ -32,7 +32,12 @@ def link(records: DataFrame, key: str, identifiers: list[str]) -> DataFrame:
     a value that many records share gives one edge for each of them.
     """
     kinds = dict(records.dtypes)
-    each = [F.transform(F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string")), lambda v, c=c: F.concat(F.lit(f"{c}:"), v.cast("string"))) for c in identifiers]
+
+    def named(c: str) -> Column:
+        found = F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+        return F.transform(found, lambda v: F.concat(F.lit(f"{c}:"), v.cast("string")))
+
+    each = [named(c) for c in identifiers]
     values = records.select(F.col(key).alias("k"), F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in each])).alias("v")).filter("v is not null").distinct()
     least = values.groupBy("v").agg(F.min("k").alias("b"))
     roots = connected(values.join(least, "v").select(F.col("k").alias("a"), "b"))

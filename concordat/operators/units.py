@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions.text import blank_to_null, duration, finite, time_mode
@@ -58,14 +58,19 @@ def by_time_mode(rows: DataFrame) -> DataFrame:
     return held.filter(kept).drop("__hours", "__least", "__most", "__n", "__k")
 
 
+def cancelled(mean: Column) -> Column:
+    """A mean of values that cancel is 0, whatever the order of the sum leaves of it."""
+    return F.when(F.abs(mean) < 1e-12, 0.0).otherwise(mean)
+
+
 def collapse(harmonized: DataFrame, eligible: bool = False) -> DataFrame:
     """One row for each entity and source unit: weighted mean z and effect, mean rank. eligible: rows are eligible_rows."""
     rows = harmonized if eligible else eligible_rows(harmonized)
     w = F.col("row_weight")
     grouped = rows.groupBy("gene_symbol", "source_unit_id").agg(
         F.min("study_id").alias("study_id"),
-        (F.sum(w * F.col("signed_z")) / F.sum(w)).alias("signed_z"),
-        F.try_divide(F.sum(w * F.col("lfc")), F.sum(F.when(F.col("lfc").isNotNull(), w))).alias("lfc"),
+        cancelled(F.sum(w * F.col("signed_z")) / F.sum(w)).alias("signed_z"),
+        cancelled(F.try_divide(F.sum(w * F.col("lfc")), F.sum(F.when(F.col("lfc").isNotNull(), w)))).alias("lfc"),
         F.avg("normalized_rank").alias("normalized_rank"),
         F.max("n_genes_in_study").cast("int").alias("n_genes_in_study"),
         F.avg(w).alias("weight"),

@@ -133,7 +133,7 @@ def link_components(spark, sf):
     return linkage.link(docs, "doc_id", ["same_text", "same_size"]).select("doc_id", "component")
 
 
-@query("select o_orderkey, o_custkey % 7 = 0 and count(distinct o_orderpriority) filter (o_custkey % 7 = 0) over (partition by t) >= 2 as shared_submission from (select *, regexp_replace(lower('a title of customer number ' || o_custkey), '[^a-z0-9]+', '', 'g') as t from orders)")
+@query("select o_orderkey, length(t) >= 24 and o_custkey % 7 = 0 and count(distinct o_orderpriority) filter (o_custkey % 7 = 0) over (partition by t) >= 2 as shared_submission from (select *, regexp_replace(lower('a title of customer number ' || o_custkey), '[^a-z0-9]+', '', 'g') as t from orders)")
 def shared_title_flag(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("A title of customer number "), F.col("o_custkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("source_unit_id"), F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("pmid"))
     return linkage.shared_submissions(rows).select("o_orderkey", "shared_submission")

@@ -64,9 +64,10 @@ CTES = {
   where mode = 'mean' or mode = 'early' and hours = first_h or mode = 'late' and hours = last_h
     or mode = 'peak_mean' and k_mode <= case when n_mode <= 2 then n_mode else greatest(2, ceil(n_mode * 0.5)) end""",
     "units": """
+  select * replace (case when abs(signed_z) < 1e-12 then 0 else signed_z end as signed_z, case when abs(lfc) < 1e-12 then 0 else lfc end as lfc) from (
   select gene_symbol, source_unit_id, min(study_id) as study_id, sum(w * signed_z) / sum(w) as signed_z, sum(w * lfc) / sum(w) as lfc,
     avg(normalized_rank) as normalized_rank, max(n_genes)::int as n_genes_in_study, avg(w) as weight, count(*)::int as n_contrast_rows, count(distinct study_id)::int as n_studies_in_source_unit
-  from elig group by 1, 2""",
+  from elig group by 1, 2)""",
     "sums": """
   select gene_symbol, count(*)::int as n_studies, sum(weight * signed_z) / sqrt(sum(weight * weight)) as z, sum(weight * signed_z) / sum(weight) as m, sum(weight * lfc) / sum(weight) as weighted_lfc,
     coalesce(sum(least(abs(signed_z), 8)) filter (signed_z > 0), 0) as up, coalesce(sum(least(abs(signed_z), 8)) filter (signed_z < 0), 0) as down,
@@ -88,12 +89,12 @@ CTES = {
   join (select gene_symbol, source_unit_id, min(n_ctrl) as n_ctrl, min(n_treat) as n_treat, min(pvalue) as min_p, min(padj) as min_padj, string_agg(distinct study_id, ';' order by study_id) as studies, string_agg(distinct duration_h, ';' order by duration_h) as durations,
       case when least(min(n_ctrl), min(n_treat)) >= 3 then 1e0 when least(min(n_ctrl), min(n_treat)) >= 2 then 0.85e0 when least(min(n_ctrl), min(n_treat)) >= 1 then 0.5e0 else 0.35e0 end as rw from elig group by 1, 2) e
     on u.gene_symbol = e.gene_symbol and u.source_unit_id = e.source_unit_id""",
-    "pairs": """
+    "pairs": f"""
   select source_a, source_b, count(*) as overlap, avg((sx * sy > 0)::int) as sign_agreement,
     case when count(*) >= 3 and count(distinct x) > 1 and count(distinct y) > 1 then corr(rx, ry) end as rho
   from (select *, rank() over (partition by source_a, source_b order by x) + (count(*) over (partition by source_a, source_b, x) - 1) / 2e0 as rx,
       rank() over (partition by source_a, source_b order by y) + (count(*) over (partition by source_a, source_b, y) - 1) / 2e0 as ry, sign(x) as sx, sign(y) as sy
-    from (select a.source_unit_id as source_a, b.source_unit_id as source_b, a.lfc as x, b.lfc as y from evid0 a join evid0 b on a.gene_symbol = b.gene_symbol and a.source_unit_id < b.source_unit_id))
+    from (select a.source_unit_id as source_a, b.source_unit_id as source_b, {r6('a.lfc', 9)} as x, {r6('b.lfc', 9)} as y from evid0 a join evid0 b on a.gene_symbol = b.gene_symbol and a.source_unit_id < b.source_unit_id))
   group by 1, 2""",
     "diag": f"""
   select *, {clip('quality * coherence')} as recommended, {clip('(0.65e0 + trust * ' + clip('quality * coherence') + ') / (1 + trust)')} as reliability from (
@@ -144,7 +145,7 @@ CTES = {
     "pooled": f"""
   select gene_symbol, k, tau2, i2, pooled, greatest(sqrt(sum((y - pooled) * (y - pooled) / (v + tau2)) / ((k - 1) * sw)), sqrt(1 / sw)) as se, ({[0.0] + [t_quantile(d) for d in range(1, N_UNITS + 1)]})[k::int] as t
   from (select *, sum(y / (v + tau2)) over (partition by gene_symbol) / sum(1 / (v + tau2)) over (partition by gene_symbol) as pooled, sum(1 / (v + tau2)) over (partition by gene_symbol) as sw from (select * exclude (m), unnest(m).y as y, unnest(m).v as v from effects))
-  group by all""",
+  group by gene_symbol, k, tau2, i2, pooled, sw""",
     "folds": "select distinct source_unit_id as fold from evid",
     "fold_sums": """
   select fold, gene_symbol, count(*)::int as n, sum(weight * signed_z) / sqrt(sum(weight * weight)) as z, sum(weight * lfc) / sum(weight) as lfc, exp(avg(ln(least(greatest(normalized_rank, 2.2250738585072014e-308), 1)))) as rp,
@@ -155,7 +156,7 @@ CTES = {
     select *, {clip(concordance('z'), '0')} as direction_score, {clip('1 - exp(-abs(z) / 8)', '0')} as evidence_score, {clip('1 - rp', '0')} as rank_score_component, {clip('1 - exp(-abs(coalesce(lfc, 0)) / 2)', '0')} as effect_score,
       (1e0 + case when z > 0 then n_up when z < 0 then n_down else 0.5e0 * (n_up + n_down) end) / (2e0 + n_up + n_down) as confidence from fold_sums)""",
     "loo": """
-  select r.gene_symbol, u::int as total, coalesce(n, 0)::int as evaluable, med, iqr, top50, top100, case when n > 0 then greatest(0, 1 - least(1, abs(list_aggregate(list_concat(l, list_transform(range(u - n), x -> (n_scored + 1)::double)), 'median') - priority_rank) / n_scored)) end as stability
+  select r.gene_symbol, u::int as total, coalesce(n, 0)::int as evaluable, med, iqr, top50, top100, case when n > 0 then greatest(0, 1 - least(1, abs(list_aggregate(list_resize(l, u, (n_scored + 1)::double), 'median') - priority_rank) / n_scored)) end as stability
   from (select gene_symbol, priority_rank, n_scored, (select u from totals) as u from ranked) r left join (
     select gene_symbol, count(*) as n, median(fold_rank) as med, quantile_cont(fold_rank, 0.75) - quantile_cont(fold_rank, 0.25) as iqr, avg((fold_rank <= 50)::int) as top50, avg((fold_rank <= 100)::int) as top100, list(fold_rank::double) as l from fold_ranks group by 1) f on r.gene_symbol = f.gene_symbol""",
     "reliable": f"""
