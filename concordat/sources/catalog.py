@@ -5,15 +5,25 @@ from __future__ import annotations
 import csv
 import difflib
 
-# Columns, the required ones, defaults and aliases.
+# Required columns, other columns with their defaults, other names of columns, yes and no.
 REQUIRED = ("study_id", "paper_id", "source_path", "gene_column", "lfc_column", "p_column")
 DEFAULTS = {
-    "include": "yes", "source_unit_id": "", "padj_column": "", "sep": "", "sheet_name": "", "pipeline": "unknown_pipeline", "species": "", "cell_system": "", "hypoxia_modality": "", "duration_h": "",
-    "assay_type": "", "source_input_type": "", "platform": "", "normalization": "", "probe_id_column": "", "probe_collapse": "", "time_course_mode": "mean", "temporal_mode": "", "sign_convention": "",
-    "table_scope": "auto", "rank_universe_size": "", "n_ctrl": "", "n_treat": "", "gene_type_column": "", "gene_type_keep": "", "source_url": "", "notes": "",
+    "source_unit_id": "", "source_url": "", "pipeline": "unknown_pipeline", "species": "", "cell_system": "",
+    "hypoxia_modality": "", "duration_h": "", "n_ctrl": "", "n_treat": "", "padj_column": "", "sep": "", "sheet_name": "",
+    "gene_type_column": "", "gene_type_keep": "", "assay_type": "", "source_input_type": "", "platform": "",
+    "normalization": "", "probe_id_column": "", "probe_collapse": "", "time_course_mode": "mean", "temporal_mode": "",
+    "table_scope": "auto", "rank_universe_size": "", "sign_convention": "", "include_in_analysis": "yes", "notes": "",
 }
-ALIASES = {"dataset_id": "study_id", "contrast_id": "study_id", "file": "source_path", "path": "source_path", "gene": "gene_column", "lfc": "lfc_column", "p": "p_column", "padj": "padj_column", "universe": "rank_universe_size"}
-TRUE, FALSE = ("true", "yes", "y", "1", "include", "t"), ("false", "no", "n", "0", "exclude", "f")
+ALIASES = {
+    "source_unit_id": "paper_id", "condition": "hypoxia_modality", "contrast_label": "hypoxia_modality", "time_h": "duration_h",
+    "result_scope": "table_scope", "input_scope": "table_scope", "tested_gene_count": "rank_universe_size",
+    "rank_universe": "rank_universe_size", "technology": "assay_type", "assay": "assay_type", "input_type": "source_input_type",
+    "platform_id": "platform", "array_platform": "platform", "probe_column": "probe_id_column",
+    "probe_collapse_rule": "probe_collapse", "time_mode": "time_course_mode", "temporal_aggregation": "time_course_mode",
+    "include": "include_in_analysis",
+}
+TRUE = ("1", "true", "t", "yes", "y", "include", "included")
+FALSE = ("0", "false", "f", "no", "n", "exclude", "excluded")
 MODES = ("", "auto", "all", "mean", "source_mean", "average", "first", "earliest", "early", "last", "latest", "late", "peak", "peak_mean", "strongest_window")
 
 
@@ -28,7 +38,7 @@ def included(value: str | None) -> bool:
         return True
     if text in FALSE:
         return False
-    raise ValueError(f"include must be yes or no, not {value!r}")
+    raise ValueError(f"include_in_analysis must be yes or no, not {value!r}")
 
 
 def whole_number(value: str, name: str) -> int | None:
@@ -72,7 +82,7 @@ def checked(rows: list[dict[str, str]]) -> list[dict[str, str]]:
     """The rows that take part, checked: required values, unique studies, scopes, modes, counts."""
     from concordat.functions.text import SCOPES
 
-    active = [r for r in rows if included(r["include"])]
+    active = [r for r in rows if included(r["include_in_analysis"])]
     for k, r in enumerate(active):
         where = f"catalog row {k + 1} ({r['study_id']})"
         blank = [c for c in REQUIRED if not r[c]]

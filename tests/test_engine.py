@@ -178,10 +178,10 @@ def test_soft_text(spark):
 
 
 def test_catalog():
-    base = {"Study ID": "S", "paper-id": "P", "path": "x.csv", "gene_column": "g", "lfc_column": "l", "p_column": "p"}
-    rows = catalog.normalized([base, base | {"Study ID": "T", "path": "y.csv"}])
-    assert rows[0]["source_path"] == "x.csv" and rows[0]["table_scope"] == "auto" and len(catalog.checked(rows)) == 2
-    for wrong in ({"table_scope": "odd"}, {"n_ctrl": "3"}, {"rank_universe_size": "1.5"}, {"gene_column": ""}, {"include": "maybe"}):
+    base = {"Study ID": "S", "paper-id": "P", "Source Path": "x.csv", "Result Scope": "deg", "gene_column": "g", "lfc_column": "l", "p_column": "p"}
+    rows = catalog.normalized([base, base | {"Study ID": "T", "Source Path": "y.csv"}])
+    assert rows[0]["source_path"] == "x.csv" and rows[0]["table_scope"] == "deg" and len(catalog.checked(rows)) == 2
+    for wrong in ({"table_scope": "odd"}, {"n_ctrl": "3"}, {"rank_universe_size": "1.5"}, {"gene_column": ""}, {"include_in_analysis": "maybe"}):
         with pytest.raises(ValueError):
             catalog.checked([rows[0] | wrong])
     with pytest.raises(ValueError, match="twice"):
