@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.text import looked_up
+from concordat.functions.text import field, looked_up
 
 # Patterns of file names, without regard to case.
 REJECTED = r"raw\.tar|\.mtx(?:\.gz)?$|\.h5(?:ad)?$|barcodes|features\.tsv|\.bam(?:\.gz)?$|\.bed(?:\.gz)?$|\.bw$|\.bigwig$|fastq|readme|filelist"
@@ -22,9 +22,13 @@ LFC_UNCLEAR = r"fold[_. ]?change|foldchange|(?:^|_)beta$|effect[_. ]?size"
 PADJ = r"padj|adj[_. ]?p|adjusted[_. ]?p|fdr|q[_. ]?value|qvalue|qval"
 PVALUE = r"p[_. ]?value|pvalue|pval|p_val|^p$"
 NOT_SAMPLE = r"^(?:gene[_. ]?)?(?:start|stop|end|length|strand|chrom(?:osome)?|chr)|^(?:description|annotation|biotype|entrez|transcript|feature|base[_. ]?mean|mean|average|avg|ave[_. ]?expr|age|batch|sex|gender|quality|qc|group|condition|phenotype|class)|(?:log2?[_. ]?fc|fold[_. ]?change|p[_. ]?value|pval|padj|adj[_. ]?p[_. ]?val|fdr|q[_. ]?value|stat(?:istic)?|score|stderr|std[_. ]?error|se|df|degrees[_. ]?of[_. ]?freedom)$|^(?:t|b)$"
-# Species labels.
-SPECIES = {"human": "Human", "homo sapiens": "Human", "9606": "Human", "mouse": "Mouse", "mus musculus": "Mouse", "10090": "Mouse"}
-TIERS = ("verified_ready", "likely_ready", "candidate", "quarantined", "metadata_only")
+# Names of the two target species, labels that say nothing, readiness tiers in order.
+SPECIES = {
+    "Human": ("human", "homo sapiens", "hs", "h sapiens", "9606"),
+    "Mouse": ("mouse", "mus musculus", "mm", "m musculus", "10090"),
+}
+NO_SPECIES = ("unknown", "not reported", "not available", "mixed", "multiple", "other")
+TIERS = ("verified_ready", "likely_ready", "candidate", "mixed_quarantined", "metadata_only")
 
 
 def _like(value: Column, pattern: str) -> Column:
@@ -76,24 +80,42 @@ def numeric_share(values: Column, unit_interval: bool = False) -> Column:
 
 
 def species(label: Column) -> Column:
-    """Human, Mouse, Taxon:<number> or Other:<label>; null for a blank."""
-    key = F.lower(F.trim(label))
-    number = F.regexp_extract(key, r"^(?:taxon:|txid)?(\d+)$", 1)
-    return F.coalesce(looked_up(SPECIES, key), looked_up(SPECIES, number), F.when(number != "", F.concat(F.lit("Taxon:"), number)), F.when(key != "", F.concat(F.lit("Other:"), key)))
-
-
-def species_decision(labels: Column, target: str, rescued: Column | None = None) -> Column:
-    """What the species seen in a record mean for a target."""
+    """Human, Mouse, Taxon:<number> or Other:<label>; null for a label that says nothing."""
+    raw = F.regexp_replace(field(label), r"\s+", " ")
+    key = F.translate(F.lower(raw), "_-", "  ")
+    rest = F.trim(F.regexp_replace(raw, "^[^:]*:", ""))
+    named = lambda kind, text: F.when(text != "", F.concat(F.lit(f"{kind}:"), text))
+    sentence = lambda text: F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))
+    out = F.when(key.startswith("other:"), named("Other", sentence(rest))).when(key.startswith("taxon:"), named("Taxon", rest)).when(key.isin(*NO_SPECIES), None).when(key.rlike("^[0-9]+$"), F.concat(F.lit("Taxon:"), key)).otherwise(named("Other", sentence(raw)))
+    for name, labels in SPECIES.items():
+        out = F.when(key.isin(*labels), name).otherwise(out)
+    return out
+
+
+def species_decision(labels: Column, target: str, verified: Column, quarantined: Column, blocked: Column, evidence: Column) -> Column:
+    """What the species labels of a record, its flags and its evidence text mean for a target.
+
+    A mixed record counts only if the target was verified and there is evidence of it.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
     seen = F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))
-    has = F.array_contains(seen, target)
-    several = F.size(seen) > 1
-    return F.when(F.size(seen) == 0, "unknown").when(has & several, F.when(F.lit(False) if rescued is None else rescued, "mixed_rescued").otherwise("mixed_quarantined")).when(has, "verified").otherwise("non_target")
-
-
-def readiness(decision: Column, strong_files: Column, weak_files: Column, upstream_files: Column) -> Column:
-    """struct(tier, priority): how near a record is to being usable, by its species and files."""
-    usable = decision.isin("verified", "mixed_rescued")
-    tier = F.when(decision.isin("mixed_quarantined", "non_target"), "quarantined").when(usable & (strong_files > 0), "verified_ready").when((strong_files > 0) | (usable & (upstream_files > 0)), "likely_ready").when((weak_files > 0) | (upstream_files > 0), "candidate").otherwise("metadata_only")
+    mixed = (F.size(seen) > 1) | flag(quarantined)
+    rescued = F.when(field(evidence).isNotNull(), "mixed_rescued").otherwise("mixed_quarantined")
+    return (
+        F.when(flag(blocked), "mixed_quarantined")
+        .when(flag(verified) & mixed, rescued)
+        .when(flag(quarantined), "mixed_quarantined")
+        .when(flag(verified), "target_species_verified")
+        .when(F.size(seen) == 0, "unknown")
+        .when(F.array_contains(seen, target), F.when(F.size(seen) == 1, "target_species_likely").otherwise("mixed_quarantined"))
+        .otherwise("non_target")
+    )
+
+
+def readiness(decision: Column, has_file: Column, has_accession: Column) -> Column:
+    """struct(tier, priority): how near a record is to being usable, by its species, files and accessions."""
+    usable = decision.isin("target_species_verified", "mixed_rescued")
+    tier = F.when(decision == "mixed_quarantined", "mixed_quarantined").when(usable & has_file, "verified_ready").when(has_file, "likely_ready").when(has_accession, "candidate").otherwise("metadata_only")
     return F.struct(tier.alias("tier"), looked_up({t: k for k, t in enumerate(TIERS)}, tier).alias("priority"))
 
 

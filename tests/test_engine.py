@@ -134,8 +134,14 @@ def test_classifiers(spark):
     got = [r.c for r in spark.createDataFrame(heads, "h array<string>").select(classify.header_class(F.col("h")).alias("c")).collect()]
     assert [c.status for c in got] == ["candidate_header", "requires_lfc_confirmation", "requires_pvalue_mapping", "not_deg_table", "requires_column_mapping"]
     assert (got[0].gene, got[0].lfc, got[0].p, got[0].padj) == ("symbol", "log2FoldChange", "pvalue", "padj")
-    assert [r[0] for r in spark.createDataFrame([("Homo sapiens",), ("txid10090",), ("7227",), ("Yeast",), ("",)], "v string").select(classify.species(F.col("v"))).collect()] == ["Human", "Mouse", "Taxon:7227", "Other:yeast", None]
-    row = spark.createDataFrame([(" https://doi.org/10.1093/NAR/gkaa000. ", "PMID: 0012", "pmc77", "in 2019-05")], "d string, p string, c string, y string")
+    assert [r[0] for r in spark.createDataFrame([("Homo sapiens",), ("mus_musculus",), ("7227",), ("baker's  YEAST",), ("n/a",), ("mixed",), ("Taxon: 9",)], "v string").select(classify.species(F.col("v"))).collect()] == ["Human", "Mouse", "Taxon:7227", "Other:Baker's yeast", None, None, "Taxon:9"]
+    flags = "labels array<string>, v boolean, q boolean, b boolean, e string"
+    cases = [((["Human"], True, None, None, None), "target_species_verified"), ((["Human"], None, None, None, None), "target_species_likely"), ((["Human", "Mouse"], None, None, None, None), "mixed_quarantined"), ((["Human", "Mouse"], True, None, None, "file"), "mixed_rescued"), ((["Human", "Mouse"], True, None, None, "n/a"), "mixed_quarantined"), ((["Mouse"], None, None, None, None), "non_target"), (([], None, None, None, None), "unknown"), ((["Human"], True, None, True, "x"), "mixed_quarantined")]
+    decided = spark.createDataFrame([c for c, _ in cases], flags).select(classify.species_decision(F.col("labels"), "Human", F.col("v"), F.col("q"), F.col("b"), F.col("e")).alias("d"))
+    assert [r.d for r in decided.collect()] == [d for _, d in cases]
+    tiers = decided.select("d", classify.readiness(F.col("d"), F.lit(True), F.lit(False)).alias("t")).collect()
+    assert [r.t.tier for r in tiers][:4] == ["verified_ready", "likely_ready", "mixed_quarantined", "verified_ready"]
+    row = spark.createDataFrame([(" https://doi.org/10.1093/NAR/gkaa000. ", "PMID: 12", "pmc77", "in 2019-05")], "d string, p string, c string, y string")
     assert tuple(row.select(tx.doi(F.col("d")), tx.pmid(F.col("p")), tx.pmcid(F.col("c")), tx.year(F.col("y"))).first()) == ("10.1093/nar/gkaa000", "12", "PMC77", 2019)
 
 
