@@ -5,8 +5,8 @@ suffixes, each arc carries a number, and the numbers along a word's path add up
 ids. It is one read-only file that every Python worker of an executor maps into memory. Units that it lacks are encoded
 exactly by the vocabulary's merges, so its size changes the speed and never the result.
 
-Word counts cover all documents and are made by Spark; the lexicon keeps the `most` most frequent units of at most LONG
-characters, which bounds what comes to the driver (most x LONG characters).
+Word counts cover all documents and are made by Spark; the lexicon keeps the most frequent units of at most LONG
+characters, `most` of them at most, which bounds what comes to the driver (most x LONG characters).
 
 Defined results: null text counts as empty (no ids). The vocabulary's added tokens are found in texts first, as the
 library does by default. Texts of any length are encoded whole; a unit of any length is merged in n log n steps.
@@ -33,12 +33,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import whole
+from concordat.llm.shared import whole, written
 from concordat.llm.units import LONG, units
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MEMO = 300_000
+STEPS_PER_E = 64
+#: Units that a worker remembers at most.
+_MEMO = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -291,10 +293,20 @@ def coder_of(vocabulary: str, lexicon: str) -> Coder:
 
 
 def frequent_units(docs: DataFrame, *, text: str = "text", most: int = 32_768, least: int = 3) -> list[str]:
-    """The most frequent units of at most LONG characters that occur `least` times in all documents."""
+    """The most frequent units of at most LONG characters that occur `least` times or more in all documents.
+
+    A table of how many units reach each step of a fine logarithmic scale (STEPS_PER_E steps for each factor of e, a few
+    thousand rows at most) gives the least count with which no more than `most` units come to the driver.
+    """
     pieces = docs.select(F.explode(F.split(whole(text), " ")).alias("unit")).filter((F.length("unit") <= LONG) & (F.length("unit") > 0))
-    counted = pieces.groupBy("unit").count().filter(F.col("count") >= least)
-    return [r[0] for r in counted.orderBy(F.desc("count"), "unit").limit(most).select("unit").collect()]
+    counted = written(pieces.groupBy("unit").count().filter(F.col("count") >= least).withColumn("step", F.floor(F.log("count") * STEPS_PER_E)), "unit-counts")
+    total, lowest = 0, None
+    for step, n in counted.groupBy("step").count().orderBy(F.desc("step")).toLocalIterator():
+        total += n
+        if total > most:
+            break
+        lowest = step
+    return [] if lowest is None else [r[0] for r in counted.filter(F.col("step") >= lowest).select("unit").collect()]
 
 
 def ship_lexicon(docs: DataFrame, vocabulary: str, *, text: str = "text", most: int = 32_768, least: int = 3) -> str:
