@@ -31,6 +31,8 @@ from concordat.llm.shared import FILE, ROW, located, whole, without, written
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets of more fingerprints than this go one level down instead of being compared at once.
 CROWD = 1024
+#: Tables that are filled and compared in one round.
+ROUND = 16
 _BLOCK = 1 << 15
 
 
@@ -104,12 +106,12 @@ def _tables(level: int, radius: int) -> list[tuple[int, int]]:
     return tables
 
 
-def _keyed(rows: DataFrame, level: int, radius: int) -> DataFrame:
-    """rows (fp, and below the first level their table above) with (table, key) for each table of the level."""
+def _keyed(rows: DataFrame, level: int, radius: int, tables: range) -> DataFrame:
+    """rows (fp, and below the first level their table above) with (table, key) for some of each row's tables of the level."""
     n = (1 << radius + 1) - 1
     masks = F.array(*[F.lit(_signed(m)) for _, m in _tables(level, radius)])
     above = F.col("table") if level > 1 else F.lit(0)
-    fine = F.explode(F.sequence(above * n, above * n + n - 1)).alias("table")
+    fine = F.explode(F.sequence(above * n + tables.start, above * n + tables.stop - 1)).alias("table")
     spread = rows.select("fp", fine)
     return spread.select("fp", "table", F.col("fp").bitwiseAND(F.element_at(masks, F.col("table") + 1)).alias("key"))
 
@@ -167,24 +169,35 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
 def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) among distinct(fp) that connect all that is connected within the radius; not every pair, but no fewer components.
 
-    Levels below the first run only on the members of larger buckets.
+    Levels below the first run only on the members of larger buckets. Tables are taken ROUND at a time, and a round's shuffle
+    files go when it ends, so that disk use doesn't grow with the number of tables.
     """
-    found: list[DataFrame] = []
-    rows = distinct.select("fp")
-    for level in (1, 2, 3):
-        keyed = _keyed(rows, level, radius)
-        buckets = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-        buckets = written(buckets, "buckets")
-        found.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
-        fits = F.col("n") <= crowd if level < 3 else F.lit(True)
-        more = buckets.filter("n > 2").select("table", "key", "n")
-        members = keyed.join(more.filter(fits).drop("n"), ["table", "key"])
-        found.append(_bucket_links(members, radius))
-        crowded = more.filter(~fits)
-        if level == 3 or crowded.isEmpty():
-            break
-        rows = written(keyed.join(crowded.drop("n"), ["table", "key"]).select("fp", "table"), "crowded")
-    return reduce(DataFrame.union, found)
+    spark, cleanup = distinct.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        found: list[DataFrame] = []
+        rows = distinct.select("fp")
+        for level in (1, 2, 3):
+            size, below = (1 << radius + 1) - 1, []
+            for start in range(0, size, ROUND):
+                keyed = _keyed(rows, level, radius, range(start, min(size, start + ROUND)))
+                buckets = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+                buckets = written(buckets, "buckets")
+                pairs = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+                fits = F.col("n") <= crowd if level < 3 else F.lit(True)
+                more = buckets.filter("n > 2").select("table", "key", "n")
+                members = keyed.join(more.filter(fits).drop("n"), ["table", "key"])
+                found.append(written(pairs.union(_bucket_links(members, radius)), "links"))
+                crowded = more.filter(~fits)
+                if level < 3 and not crowded.isEmpty():
+                    below.append(written(keyed.join(crowded.drop("n"), ["table", "key"]).select("fp", "table"), "crowded"))
+            if not below:
+                break
+            rows = reduce(DataFrame.union, below)
+        return reduce(DataFrame.union, found)
+    finally:
+        spark.conf.set(cleanup, before)
 
 
 def _first(id_column: str, place: tuple[str, ...]) -> Column:
