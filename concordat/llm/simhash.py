@@ -10,12 +10,17 @@ compared in place. A bucket of at most CROWD is split into its own components in
 member at most. The members of a larger bucket agree on the key's bits, so the same covering is applied to the remaining
 bits, and again below; three levels leave at most 2^7 different fingerprints a bucket. No bucket is cut.
 
+Where `keep_first` is given a similarity, fingerprints only propose: the texts of each component are compared by the sets
+of their word shingles, and only links that hold exactly enter the components that lose rows. Prefixes of the sets, rarest
+shingles first, find the pairs to compare without a loss. A component's shingles are held by one task.
+
 Defined results: null text counts as empty and has fingerprint 0, which links like any other. Rows that repeat, or share
 an id, each get the result. Null ids are passed over by the smallest id of a component; it is null if all are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -226,9 +231,87 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_column: str = "do
     return named.select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """The rows of docs without near-duplicates: exactly one of each component, with the smallest id (then by place)."""
+def shingles(text: str, size: int) -> np.ndarray:
+    """The distinct XXH64 values of a whole text's word shingles, A-Z lower-cased; none for a text without words."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(size)))] if len(words) >= size else [digest(b" ".join(words), SEED)], np.uint64))
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[int]:
+    """For each set of distinct values the place of the first that it reaches by links of a Jaccard similarity of least or more.
+
+    Two sets that are so alike share one of their first n - ceil(least n) + 1 values in any common order. Sets without
+    values are alike. What is connected already isn't compared again.
+    """
+    label = np.arange(len(sets))
+    if len(sets) < 2:
+        return label.tolist()
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))  # the rarest first
+    single = np.count_nonzero(count == 1)  # ranks below: values of one set alone
+    bounds = np.cumsum([0, *map(len, sets)])
+    ranks = [np.sort(rank[value[a:b]]) for a, b in zip(bounds, bounds[1:])]
+    holders: dict[int, list[int]] = {}
+    same: dict[bytes, int] = {}
+    for k, own in enumerate(ranks):
+        first = same.setdefault(own.tobytes(), k)
+        if first != k:
+            label[k] = label[first]
+            continue
+        n = len(own)
+        prefix = [x for x in own[: n - math.ceil(least * n - 1e-9) + 1].tolist() if x >= single]
+        for other in np.unique(np.array([j for x in prefix for j in holders.get(x, ())], np.int64)).tolist():
+            m = len(ranks[other])
+            if label[other] != label[k] and min(n, m) >= least * max(n, m) - 1e-9:
+                both = len(np.intersect1d(own, ranks[other], assume_unique=True))
+                if both >= least * (n + m - both) - 1e-9:
+                    a, b = sorted((label[k], label[other]))
+                    label[label == b] = a
+        for x in prefix:
+            holders.setdefault(x, []).append(k)
+    return label.tolist()
+
+
+def _unlike_first(bodies: DataFrame, order: list[Column], least: float, size: int) -> DataFrame:
+    """(FILE, ROW) of the rows of bodies(component, text, FILE, ROW) that follow another of their verified component in order."""
+    dealt = bodies.repartition("component").sortWithinPartitions("component", *order).select("component", "text", FILE, ROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, places = None, [], []
+
+        def later() -> pa.RecordBatch:
+            gone = [p for k, (p, first) in enumerate(zip(places, alike(sets, least))) if first != k]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in gone], pa.string()), pa.array([p[1] for p in gone], pa.int64())], [FILE, ROW])
+
+        for x in batches:
+            for component, text, *place in zip(*(c.to_pylist() for c in x.columns)):
+                if component != now:
+                    yield later()
+                    now, sets, places = component, [], []
+                sets.append(shingles(text, size))
+                places.append(place)
+        yield later()
+
+    return dealt.mapInArrow(run, f"{FILE} string, {ROW} bigint")
+
+
+def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD, similarity: float | None = None, compared: int = 5) -> DataFrame:
+    """The rows of docs without near-duplicates: exactly one of each component, with the smallest id (then by place).
+
+    similarity: links within the fingerprints' components count only if the sets of shingles of `compared` words are so alike.
+    """
     here = located(docs)
     rows = written(fingerprints(here, text=text, carry=(id_column, FILE, ROW), shingle=shingle), "fingerprints")
     named = classed(rows, id_column=id_column, place=(FILE, ROW), radius=radius, crowd=crowd)
-    return without(here, named.filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}"))))
+    if similarity is None:
+        return without(here, named.filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}"))))
+    # Two components that share a hash are compared as one, which changes nothing.
+    named = written(named.select(FILE, ROW, F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
+    several = named.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    proposed = written(named.join(several, "component"), "several")
+    texts = here.select(F.col(id_column).alias("id"), FILE, ROW, whole(text).alias("text")).join(proposed, [FILE, ROW])
+    return without(here, _unlike_first(texts, [F.col("id").asc_nulls_last(), F.col(FILE), F.col(ROW)], similarity, compared))

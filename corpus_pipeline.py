@@ -17,8 +17,10 @@ from concordat.llm.shared import scratch
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Differing bits at which fingerprints of three-word shingles link. README.md has the measured recall and precision.
+#: Differing bits at which fingerprints of three-word shingles propose links. README.md has the measured recall and precision.
 NEAR_RADIUS = 6
+#: Links count at this Jaccard similarity of the sets of five-word shingles.
+NEAR_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Near copies whose five-word shingles are 0.8 alike differ in some 4 to 12 bits: a wider radius than query 7's finds most.
-    return simhash.keep_first(docs, radius=NEAR_RADIUS)
+    # Near copies whose five-word shingles are 0.8 alike differ in some 4 to 12 bits: a wider radius than query 7's proposes
+    # more of them, and the texts themselves decide.
+    return simhash.keep_first(docs, radius=NEAR_RADIUS, similarity=NEAR_SIMILARITY, compared=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
