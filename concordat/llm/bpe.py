@@ -38,6 +38,9 @@ from concordat.llm.units import LONG, units
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The native coder's pattern engine fails on about a million white-space characters in a row; runs from here on pass by it.
+BLANKS = 100_000
+_BLANK_RUN = regex.compile(rf"(?<!\s)\s{{{BLANKS},}}")
 STEPS_PER_E = 64
 #: Units that a worker remembers at most.
 _MEMO = 150_000
@@ -50,6 +53,34 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def native(coder: tiktoken.Encoding, text: str, added: regex.Pattern | None = None) -> list[int]:
+    """The rank coder's ids of a whole text, with the added tokens that the pattern finds; white-space runs of any length.
+
+    The vocabulary's pattern makes one pre-token of a run up to its last character, or of all of it where the text (or the
+    part before an added token) ends, so a long run is merged as that pre-token without the pattern engine.
+    """
+    if len(text) < BLANKS or not _BLANK_RUN.search(text):
+        return coder.encode(text, allowed_special="all")
+    out: list[int] = []
+
+    def plain(part: str) -> None:
+        at = 0
+        for m in _BLANK_RUN.finditer(part):
+            end = m.end() - (m.end() < len(part))
+            out.extend(coder.encode_ordinary(part[at : m.start()]))
+            out.extend(coder._encode_single_piece(part[m.start() : end]))
+            at = end
+        out.extend(coder.encode_ordinary(part[at:]))
+
+    at = 0
+    for m in added.finditer(text) if added else ():
+        plain(text[at : m.start()])
+        out.append(coder.encode_single_token(m[0]))
+        at = m.end()
+    plain(text[at:])
+    return out
+
+
 class Merges:
     """A vocabulary file's merges: encodes any text exactly and decodes ids."""
 
@@ -125,7 +156,7 @@ class Merges:
         return [x for x in now if x >= 0]
 
     def encode(self, text: str) -> list[int]:
-        return self.ranked.encode(text, allowed_special="all") if self.ranked else self.encode_by_pairs(text)
+        return native(self.ranked, text, self.split_added) if self.ranked else self.encode_by_pairs(text)
 
     def encode_by_pairs(self, text: str) -> list[int]:
         """The same by the list of merges itself."""

@@ -46,20 +46,20 @@ def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
     if tokenizer.endswith(".tiktoken"):
         import tiktoken
 
-        from concordat.llm.bpe import PATTERN
+        from concordat.llm.bpe import PATTERN, native
 
         with open(tokenizer, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [len(coder.encode_ordinary(x)) for x in texts]
+        return lambda texts: [len(native(coder, x)) for x in texts]
     from concordat.llm.bpe import merges_of
 
     try:
-        ranked = merges_of(tokenizer).ranked
+        merges = merges_of(tokenizer)
     except ValueError:
-        ranked = None
-    if ranked:  # gives what the library gives, several times faster
-        return lambda texts: [len(ranked.encode(x, allowed_special="all")) for x in texts]
+        merges = None
+    if merges and merges.ranked:  # gives what the library gives, several times faster
+        return lambda texts: [len(merges.encode(x)) for x in texts]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
