@@ -29,8 +29,18 @@ VERSION = "WARC/1.1"
 SCHEMA = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, content_length bigint, block string, record binary"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_SCRIPTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Start tags that end an svg element which lacks its end tag.
+_BREAKOUT = r"<(?:/?body|/html|article|aside|blockquote|center|div|dl|dd|dt|footer|form|h[1-6]|header|hr|img|li|main|nav|ol|p|pre|section|span|table|ul)(?=[\s/>])"
+#: Comments, elements that show no text, and a head: up to its end tag, or to the first element or text that can't be in one.
+_DROPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])[^>]*/>"
+    rf"|<svg(?=[\s/>])[^>]*>(?:.*?</svg\s*>|.*?(?={_BREAKOUT})|.*)"
+    r"|<head(?=[\s/>])[^>]*>(?:\s+|<!--.*?(?:-->|\Z)|<(title|script|style|noscript|template)(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)|</?(?:meta|link|base|basefont|bgsound|noframes)(?=[\s/>])[^>]*>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
+_SCRIPTS = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.S | re.I)
+_SOURCE = re.compile(r"""<script[\s/](?:.*[\s"'/])?src\s*=""", re.S | re.I)
 _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -62,7 +72,7 @@ def plain_text(page: str) -> str:
 def links(page: str, base: str) -> list[tuple[str, str]]:
     """(element, absolute address) of each link, in order, each once."""
     found: dict[tuple[str, str], None] = {}
-    for m in _LINK.finditer(_SCRIPTS.sub(lambda s: s[0] if s[1] and s[0].lower().startswith("<script") and " src" in s[0][:300] else " ", page)):
+    for m in _LINK.finditer(_SCRIPTS.sub(lambda s: s[1] if s[1] and _SOURCE.match(s[1]) else " ", page)):
         if t := _TARGET.search(m[2]):
             raw = entities.unescape(next(x for x in t.groups() if x is not None).strip())
             if raw and not raw.lower().startswith(("javascript:", "data:")):
