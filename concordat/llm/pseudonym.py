@@ -93,6 +93,38 @@ def _card(m: re.Match, key: bytes, back: bool) -> str | None:
             return _laid_out(m[0], new + luhn_digit(new))
 
 
+#: The lengths of the registered countries' numbers.
+_IBAN_SIZES = {
+    k: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in names.split()
+}
+
+
+def _iban_matches(text: str) -> Iterator[re.Match]:
+    """What may be a number: each longest match, cut where its country's length ends if that is a token's end."""
+    pattern, at = _PATTERNS["iban"], 0
+    while m := pattern.search(text, at):
+        size, end = _IBAN_SIZES.get(m[0][:2]), None
+        if size:
+            taken = [k for k, c in enumerate(m[0]) if c != " "]
+            if len(taken) >= size:
+                end = m.start() + taken[size - 1] + 1
+        cut = pattern.fullmatch(text, m.start(), end) if end and (end == len(text) or not (text[end].isascii() and text[end].isalnum())) else None
+        found = cut or m
+        compact = found[0].replace(" ", "")
+        if iban_check(compact[:2], compact[4:]) == compact[2:4]:
+            yield found
+            at = found.end()
+        else:
+            at = m.start() + 1  # a number may begin within what was no number
+
+
 def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
     text = m[0].replace(" ", "")
     country, check, rest = text[:2], text[2:4], text[4:]
@@ -236,7 +268,7 @@ def spans(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str
         return []
     found = []
     for rank, (kind, pattern) in enumerate(_PATTERNS.items()):
-        for m in pattern.finditer(text):
+        for m in _iban_matches(text) if kind == "iban" else pattern.finditer(text):
             new = _remembered(kind, m[0], key, back)
             if new is not None:
                 found.append((m.start(), rank, m.end(), kind, new))
