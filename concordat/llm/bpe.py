@@ -9,16 +9,17 @@ Word counts cover all documents and are made by Spark; the lexicon keeps the mos
 characters, `most` of them at most, which bounds what comes to the driver (most x LONG characters).
 
 Defined results: null text counts as empty (no ids). The vocabulary's added tokens are found in texts first, as the
-library does by default. Texts of any length are encoded whole; a unit of any length is merged in n log n steps.
+library does by default. Texts of any length are encoded whole; a unit of any length is merged in n log n steps. Units
+that tie at the lexicon's border are in or out together. An empty table gives an empty result. A carried column named like
+an output is left out.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import os
 import struct
-import tempfile
+import uuid
 from array import array
 from collections import ChainMap
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import whole, written
+from concordat.llm.shared import carried, put_file, whole, written
 from concordat.llm.units import LONG, units
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
@@ -341,16 +342,13 @@ def frequent_units(docs: DataFrame, *, text: str = "text", most: int = 32_768, l
 
 
 def ship_lexicon(docs: DataFrame, vocabulary: str, *, text: str = "text", most: int = 32_768, least: int = 3) -> str:
-    """Builds the lexicon of docs and hands it to the executors as a file of the session; returns the file's name."""
+    """Builds the lexicon of docs in the shared folder, from where every executor fetches it once; returns the file's name."""
     merges = merges_of(vocabulary)
     # The space before a unit is part of it.
     words = {f" {x}".encode(): merges.encode(f" {x}") for x in frequent_units(docs, text=text, most=most, least=least)}
     data = compile_lexicon(words)
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
-    name = f"{os.path.basename(folder)}.bin"
-    with open(os.path.join(folder, name), "wb") as file:
-        file.write(data)
-    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    docs.sparkSession.sparkContext.addFile(put_file(docs.sparkSession, name, data))
     return name
 
 
@@ -365,6 +363,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, lexicon: str, *, text: s
 
 
 def _mapped(docs: DataFrame, vocabulary: str, lexicon: str, text: str, carry: tuple[str, ...], back: bool) -> DataFrame:
+    carry = carried(carry, "ids", *["decoded"] * back)
     rows = docs.select(*carry, whole(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +383,7 @@ def _mapped(docs: DataFrame, vocabulary: str, lexicon: str, text: str, carry: tu
 
 def decode(rows: DataFrame, vocabulary: str, lexicon: str, *, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row: (*carry, decoded) of ids as encode gives them; null ids decode to null."""
+    carry = carried(carry, "decoded")
     chosen = rows.select(*carry, F.col(ids).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,21 +2,25 @@
 
 Documents land as narrow rows (digest, identifier, content locator) and stream through an aggregation keyed by the digest.
 Its state is kept in RocksDB, on disk, and never expires: for each digest it holds the identifier and locator of the row
-that stays and the group's size. Each ingest processes what is new and ends; the state and the landed rows stay in one
-folder in shared storage, so a later ingest, or a restart after a loss, goes on from there.
+that stays, the locator of the row that came first, and the group's size. Each ingest processes what is new and ends; the
+state and the landed rows stay in one folder in shared storage, so a later ingest, or a restart after a loss, goes on from
+there. An ingest that was cut off is taken up where it stood.
 
 A hit (a row whose digest the state already holds under another locator) is checked against the full bytes at the stored
-locator. Should a digest collide, the groups concerned are split by their whole texts, so the result is exact for any
-digest. Digests are combined before each shuffle; the texts of rows without a hit never move.
+locator, in the files of the earlier ingest where it lies there. Texts of one digest are combined to the least and the
+largest before they are shuffled: where both are equal, all are. Should a digest collide, the groups concerned are split
+by their whole texts over all ingests, so the result is exact for any digest. The texts of rows without a hit never move.
+Earlier inputs must stay readable.
 
 Defined results: null text counts as empty. Of equal texts the row with the largest identifier stays (null identifiers
 come last, ties go to the largest locator), so exactly one row of a group is kept, also among repeated rows. An empty
-table gives an empty result.
+table gives an empty result. Columns beside text and identifier are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,35 +47,70 @@ def _stays() -> Column:
     return F.struct(F.col("id").isNotNull().alias("present"), F.col("id").alias("id"), FILE, ROW)
 
 
+class Ingest(NamedTuple):
+    """One ingest: its number, and its documents with the columns FILE and ROW."""
+
+    number: int
+    docs: DataFrame
+
+
 class ExactDedup:
-    """A deduplicating store in a folder of shared storage (a new one under spark.checkpoint.dir by default)."""
+    """A deduplicating store in a folder of shared storage (a new one under spark.checkpoint.dir by default).
+
+    Its tables: landed/ingest=k (id, FILE, ROW, digest), inputs/ingest=k (the files that ingest k read), state/epoch=e (what
+    a micro-batch changed: digest, stays, first, n, ingest), collided/ingest=k (digests that differing texts share).
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, text: str = "text", id_column: str = "doc_id", normalise: Callable[[Column], Column] = lambda x: x, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 100_000) -> None:
         self.files_per_batch, self.spark, self.folder = files_per_batch, spark, folder or scratch(spark, "exact")
         self.text, self.id_column, self.normalise, self.digest = text, id_column, normalise, digest
 
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A table of the folder, empty where nothing has been written yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
     def _rows(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.id_column).alias("id"), FILE, ROW, self.normalise(whole(self.text)).alias("body")).withColumn("digest", self.digest(F.col("body")))
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
-        """Adds docs to the state and returns them located, as rows() knows them."""
-        here = located(docs)
-        landed = self._rows(here).drop("body")
-        landed.write.mode("append").parquet(f"{self.folder}/landed")
-        self._advance(landed)
-        return here
+    def _inputs(self) -> DataFrame:
+        return self._read("inputs", "path string, ingest int")
 
-    def _advance(self, landed: DataFrame) -> None:
+    def ingest(self, docs: DataFrame) -> Ingest:
+        """Adds docs to the state and checks its hits."""
+        number = (self._inputs().agg(F.max("ingest")).first()[0] or 0) + 1
+        here = located(docs)
+        rows = self._rows(here).drop("body")
+        self.kind = rows.schema["id"].dataType.simpleString()
+        try:  # an ingest that was cut off after its rows had landed isn't landed twice
+            rows.write.mode("error").parquet(f"{self.folder}/landed/ingest={number}")
+        except AnalysisException as there:
+            if "PATH_ALREADY_EXISTS" not in str(there):
+                raise
+        self._advance()
+        one = Ingest(number, here)
+        self._collided(one).write.mode("overwrite").parquet(f"{self.folder}/collided/ingest={number}")
+        files = self.spark.createDataFrame([(x,) for x in here.inputFiles()], "path string")
+        files.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/inputs/ingest={number}")
+        return one
+
+    def _landed(self) -> DataFrame:
+        return self._read("landed", f"id {self.kind}, {FILE} string, {ROW} bigint, digest binary, ingest int")
+
+    def _advance(self) -> None:
         """Runs the stream over all that has landed and isn't in the state yet, then ends."""
         kept = {k: self.spark.conf.get(k, None) for k in _ROCKSDB}
         for k, v in _ROCKSDB.items():
             self.spark.conf.set(k, v)
         try:
-            stream = self.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/landed")
-            state = stream.groupBy("digest").agg(F.max(_stays()).alias("stays"), F.count("*").alias("n"))
+            schema = f"id {self.kind}, {FILE} string, {ROW} bigint, digest binary, ingest int"
+            stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/landed")
+            state = stream.groupBy("digest").agg(F.max(_stays()).alias("stays"), F.min(F.struct("ingest", FILE, ROW)).alias("first"), F.count("*").alias("n"), F.max("ingest").alias("ingest"))
 
             def store(changed: DataFrame, epoch: int) -> None:
-                changed.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{self.folder}/state/part={epoch}")
+                changed.write.mode("overwrite").parquet(f"{self.folder}/state/epoch={epoch}")
 
             query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(store).start()
             query.awaitTermination()
@@ -79,34 +118,56 @@ class ExactDedup:
             for k, v in kept.items():
                 self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
 
-    def state(self) -> DataFrame:
-        """(digest, stays, n): the newest value of each key that any batch has changed."""
-        landed = self.spark.read.parquet(f"{self.folder}/landed")
-        try:
-            held = self.spark.read.parquet(f"{self.folder}/state/*")
-        except AnalysisException:  # no row has ever come
-            held = landed.groupBy("digest").agg(F.max(_stays()).alias("stays"), F.count("*").alias("n")).withColumn("epoch", F.lit(0).cast("bigint"))
-        return held.groupBy("digest").agg(F.max(F.struct("epoch", "stays", "n")).alias("x")).select("digest", "x.stays", "x.n")
-
-    def rows(self, docs: DataFrame) -> DataFrame:
-        """Each row of docs (as ingest returned it): (id, FILE, ROW, digest, stays, n), each hit checked by its full bytes."""
-        groups = written(self.state(), "groups")
-        shared = groups.filter("n > 1").select("digest", F.col(f"stays.{FILE}").alias("at_file"), F.col(f"stays.{ROW}").alias("at_row"))
+    def _groups(self, since: int) -> DataFrame:
+        """(digest, stays, first, n) of the digests of more than one row that ingest `since` or a later one has touched."""
+        held = self._read("state", f"digest binary, stays struct<present:boolean,id:{self.kind},{FILE}:string,{ROW}:bigint>, first struct<ingest:int,{FILE}:string,{ROW}:bigint>, n bigint, ingest int, epoch bigint")
+        newest = held.filter(F.col("ingest") >= since).groupBy("digest").agg(F.max(F.struct("epoch", "stays", "first", "n")).alias("x"))
+        return newest.select("digest", "x.stays", "x.first", "x.n").filter("n > 1")
+
+    def _bodies(self, places: DataFrame, before: int) -> DataFrame:
+        """(digest, body) at the places (digest, FILE, ROW) in the files of the ingests before `before`."""
+        paths = [r.path for r in self._inputs().filter(F.col("ingest") < before).select("path").distinct().collect()]
+        kind = "digest binary, body string"
+        if not paths or places.isEmpty():
+            return self.spark.createDataFrame([], kind)
+        earlier = self.spark.read.schema(f"`{self.text}` string").parquet(*paths)
+        there = earlier.select(self.normalise(whole(self.text)).alias("body"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        return there.join(places, [FILE, ROW]).select("digest", "body")
+
+    def _collided(self, one: Ingest) -> DataFrame:
+        """(digest) of the digests that hits of this ingest share with a differing text."""
+        groups = written(self._groups(one.number), "groups")
         # Short keys first: where they are few Spark broadcasts them, and only the copies' texts ever move.
-        keys = written(shared.select(F.xxhash64("digest").alias("key")), "keys")
-        found = self._rows(docs).withColumn("key", F.xxhash64("digest")).join(keys, "key", "left_semi").drop("key")
-        copies = written(found.join(shared, "digest"), "copies")
-        stored = copies.filter((F.col(FILE) == F.col("at_file")) & (F.col(ROW) == F.col("at_row"))).select("digest", F.col("body").alias("stored"))
-        hits = copies.filter((F.col(FILE) != F.col("at_file")) | (F.col(ROW) != F.col("at_row")))
-        collided = written(hits.join(stored, "digest").filter("body <> stored").select("digest").distinct(), "collided")
-        landed = self.spark.read.schema(self._rows(docs).drop("body").schema).parquet(f"{self.folder}/landed")
-        named = landed.join(groups, "digest")
+        keys = written(groups.select(F.xxhash64("digest").alias("key")).distinct(), "keys")
+        hits = self._rows(one.docs).withColumn("key", F.xxhash64("digest")).join(keys, "key", "left_semi").select("digest", "body")
+        stored = groups.filter(F.col("first.ingest") < one.number).select("digest", f"first.{FILE}", f"first.{ROW}")
+        texts = hits.union(self._bodies(written(stored, "stored"), one.number))
+        found = texts.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least <> most").select("digest")
+        return found.join(groups, "digest", "left_semi")
+
+    def rows(self, one: Ingest) -> DataFrame:
+        """Each row of an ingest as the state stands now: (id, FILE, ROW, digest, stays, n); its hits were checked by their bytes."""
+        landed = self._landed().filter(F.col("ingest") == one.number).drop("ingest")
+        groups = written(self._groups(one.number).select("digest", "stays", "n"), "groups")
+        collided = self._read("collided", "digest binary").select("digest").distinct()
+        alone = {"stays": F.coalesce("stays", _stays()), "n": F.coalesce("n", F.lit(1).cast("bigint"))}
+        named = landed.join(groups, "digest", "left").withColumns(alone)
         if collided.isEmpty():
             return named
+        collided = written(collided, "collided")
         clear = named.join(collided, "digest", "left_anti")
-        apart = self._rows(docs).join(collided, "digest")
+        apart = written(self._apart(collided), "apart")
         by_text = apart.groupBy("digest", "body").agg(F.max(_stays()).alias("stays"), F.count("*").alias("n"))
-        return clear.unionByName(apart.join(by_text, ["digest", "body"]).drop("body"))
+        own = apart.filter(F.col("ingest") == one.number).drop("ingest")
+        return clear.unionByName(own.join(by_text, ["digest", "body"]).drop("body"))
+
+    def _apart(self, collided: DataFrame) -> DataFrame:
+        """(id, FILE, ROW, digest, ingest, body) of all landed rows of the collided digests."""
+        rows = written(self._landed().join(collided, "digest"), "collided-rows")
+        paths = [r.path for r in self._inputs().select("path").distinct().collect()]
+        all_texts = self.spark.read.schema(f"`{self.text}` string").parquet(*paths)
+        there = all_texts.select(self.normalise(whole(self.text)).alias("body"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        return rows.join(there, [FILE, ROW])
 
 
 def stayed() -> Column:
@@ -124,5 +185,5 @@ def duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_last(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without exact copies: of equal texts the one with the largest identifier."""
     dedup = ExactDedup(docs.sparkSession, **options)
-    here = dedup.ingest(docs)
-    return without(here, dedup.rows(here).filter(~stayed()))
+    one = dedup.ingest(docs)
+    return without(one.docs, dedup.rows(one).filter(~stayed()))

@@ -5,17 +5,24 @@ For each document the log posterior of a language is the sum of
   repeat each other, so a text counts as `weight` trigrams at most;
 - the likelihoods of the declared markup language, the address suffix and the address's language folder, from their
   grouped counts per language;
-- a prior of the document's host, smoothed hierarchically: all documents -> suffix -> registered domain -> host.
+- a prior of the document's host, smoothed hierarchically: all documents -> registered domain -> host.
 
-Counts behind the likelihoods and priors are grouped aggregations over all documents, by the language that the text alone
-suggests; a document's own vote is taken out again before it is judged. "und" (none of the languages) competes with a
-flat model of trigrams. The trigram model is fitted on a bounded sample of labelled rows: `sample` rows for each language,
-chosen by hash.
+All pages of a document speak: each distinct value of each feature adds its likelihood, and the priors of its distinct
+hosts are averaged as logs. A document without pages declares nothing (the value ""), and its source stands for its host;
+labels are never evidence.
 
-Only counts are shuffled, never texts: hosts and suffixes are combined before each shuffle.
+Counts behind the likelihoods and priors are grouped aggregations over all pairs of a document and one of its values, by
+the language that the text alone suggests; a pair's own vote is taken out again before it is judged. "und" (none of the
+languages) competes with a flat model of trigrams. The trigram model is fitted on a bounded sample of labelled rows:
+`sample` rows for each language, chosen by hash (see chosen_rows).
 
-Defined results: a null text, or one without letters, has language "und" and is rejected. Null or unknown declarations
-count as the value "". Repeated rows each count and get the same result. Without labelled rows all texts are "und".
+Only counts are shuffled, never texts: hosts and values are combined before each shuffle, a document's pages before they
+meet it.
+
+Defined results: a null text, or one without letters, has language "und" and is rejected. Null declarations and addresses
+count as the value "". Repeated rows each count and get the same result. Of languages that tie, the first of the list
+wins. Without labelled rows all texts are "und". An empty table gives an empty result. A carried column named like an
+output is left out.
 """
 
 from __future__ import annotations
@@ -28,9 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import FILE, ROW, located, lower_ascii, whole, without, written
+from concordat.llm.shared import FILE, ROW, carried, located, lower_ascii, whole, without, written
 
 UNKNOWN = "und"
+FEATURES = ("declared", "suffix", "folder")
+#: What page_evidence gives of each page.
+EVIDENCE = "doc_id bigint, declared string, suffix string, folder string, domain string, host string"
 BUCKETS = 1 << 16
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -47,15 +57,20 @@ def trigrams(text: str) -> np.ndarray:
     return bucket[letters[:-2] | letters[1:-1] | letters[2:]].astype(np.int64)
 
 
+def chosen_rows(docs: DataFrame, languages: tuple[str, ...], *, label: str = "lang", id_column: str = "doc_id", sample: int = 100) -> DataFrame:
+    """(id, language) of `sample` labelled rows of each language at most, by the hash of their id: what fit learns from."""
+    primary = F.split_part(lower_ascii(F.col(label)), F.lit("-"), F.lit(1))
+    keyed = docs.select(F.col(id_column).alias("id"), primary.alias("language"), F.xxhash64(id_column).alias("h")).filter(F.col("language").isin(*languages) & F.col("id").isNotNull())
+    order = Window.partitionBy("language").orderBy("h", "id")
+    return keyed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("id", "language")
+
+
 def fit(docs: DataFrame, languages: tuple[str, ...], *, text: str = "text", label: str = "lang", id_column: str = "doc_id", sample: int = 100) -> np.ndarray:
     """Log probabilities (bucket, language + flat) from `sample` labelled rows of each language.
 
     At most sample x languages ids are chosen; their trigram counts, languages x BUCKETS at most, come to the driver.
     """
-    primary = F.split_part(lower_ascii(F.col(label)), F.lit("-"), F.lit(1))
-    keyed = docs.select(F.col(id_column).alias("id"), primary.alias("language"), F.xxhash64(id_column).alias("h")).filter(F.col("language").isin(*languages) & F.col("id").isNotNull())
-    order = Window.partitionBy("language").orderBy("h", "id")
-    chosen = keyed.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("id", "language")
+    chosen = chosen_rows(docs, languages, label=label, id_column=id_column, sample=sample)
     bodies = docs.select(F.col(id_column).alias("id"), whole(text).alias("body")).join(F.broadcast(chosen), "id").select("language", "body")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,36 +116,62 @@ def score_texts(docs: DataFrame, model: np.ndarray, languages: tuple[str, ...],
     return rows.mapInArrow(run, f"{kinds}, scores array<double>, n_trigrams bigint")
 
 
-def fuse(rows: DataFrame, languages: tuple[str, ...], *, carry: tuple[str, ...], features: tuple[str, ...] = ("declared", "suffix", "folder"), levels: tuple[str, ...] = ("suffix", "domain", "host"), strength: float = 5.0, alpha: float = 0.5) -> DataFrame:
-    """Each row of rows: (*carry, language, posterior, text_language). rows: a written table of carry, scores, n_trigrams, features and levels."""
+def _counts(value: str, size: int) -> Column:
+    """An array of how many votes of a group go to each language."""
+    return F.array(*[F.count_if(F.col(value) == k) for k in range(size)])
+
+
+def _of(array: str, k: int) -> Column:
+    return F.get(array, F.lit(k))
+
+
+def _feature_logs(pairs: DataFrame, size: int, alpha: float) -> DataFrame:
+    """(row, l0, l1, ...): the summed log likelihoods of a row's values. pairs: a written (row, vote, feature, value)."""
+    held = written(pairs.groupBy("feature", "value").agg(_counts("vote", size).alias("c")), "votes")
+    totals = held.groupBy("feature").agg(F.count("*").alias("kinds"), F.array(*[F.sum(_of("c", k)) for k in range(size)]).alias("all"))
+    known = written(held.join(totals, "feature"), "likelihoods")
+    own = lambda k: F.when(F.col("vote") == k, 1).otherwise(0)
+    terms = [F.log((_of("c", k) - own(k) + alpha) / (_of("all", k) - own(k) + alpha * F.col("kinds"))) for k in range(size)]
+    return pairs.join(known, ["feature", "value"]).groupBy("row").agg(*[F.sum(x).alias(f"l{k}") for k, x in enumerate(terms)])
+
+
+def _host_logs(pairs: DataFrame, size: int, strength: float) -> DataFrame:
+    """(row, p0, p1, ...): the mean log prior of a row's hosts. pairs: a written (row, vote, host, domain)."""
+    hosts = written(pairs.groupBy("host", "domain").agg(_counts("vote", size).alias("host_votes")), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(_of("host_votes", k)) for k in range(size)]).alias("domain_votes"))
+    every = hosts.agg(*[F.coalesce(F.sum(_of("host_votes", k)), F.lit(0)).alias(f"v{k}") for k in range(size)]).first()  # size numbers
+    known = written(hosts.join(domains, "domain").select("host", "domain", "host_votes", "domain_votes"), "host-votes")
+    voted = F.when(F.col("vote").isNotNull(), 1).otherwise(0)
+    own = lambda k: F.when(F.col("vote") == k, 1).otherwise(0)
+    prior = [(F.lit(every[k]) - own(k) + 1) / (F.lit(sum(every)) - voted + size) for k in range(size)]
+    out = pairs.join(known, ["host", "domain"]).withColumn("prior", F.array(*prior))
+    for level in ("domain_votes", "host_votes"):
+        others = F.aggregate(level, F.lit(0).cast("bigint"), lambda a, b: a + b) - voted
+        out = out.withColumn("prior", F.array(*[(_of(level, k) - own(k) + strength * _of("prior", k)) / (others + strength) for k in range(size)]))
+    return out.groupBy("row").agg(*[F.avg(F.log(_of("prior", k))).alias(f"p{k}") for k in range(size)])
+
+
+def fuse(rows: DataFrame, pages: DataFrame, languages: tuple[str, ...], *, carry: tuple[str, ...], strength: float = 5.0, alpha: float = 0.5) -> DataFrame:
+    """Each row of rows: (*carry, language, posterior, text_language).
+
+    rows: (*carry, row: a unique number, id, source, scores, n_trigrams), a written table; pages: see page_evidence.
+    """
     names = [*languages, UNKNOWN]
     size = len(names)
     best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int") - 1
     # A text without trigrams votes for nothing.
-    voted = rows.withColumn("vote", F.when(F.col("n_trigrams") > 0, best(F.col("scores"))))
-    keyed = [(x, F.coalesce(F.col(x), F.lit(""))) for x in dict.fromkeys([*features, *levels])]
-    voted = voted.select(*carry, "scores", "n_trigrams", "vote", *[c.alias(f"__{x}") for x, c in keyed])
-    counts = lambda: F.array(*[F.count_if(F.col("vote") == k) for k in range(size)])
-    total = voted.agg(counts().alias("c"), *[F.count_distinct(f"__{x}").alias(f"n_{x}") for x in features]).first()
-    out = voted
-    for x in dict.fromkeys([*features, *levels]):
-        held = written(voted.groupBy(f"__{x}").agg(counts().alias(f"c_{x}")), f"votes-{x}")
-        out = out.join(held, f"__{x}", "left")  # hosts may be many and one may be hot: Spark picks and splits the join
-    own = lambda k: F.when(F.col("vote") == k, 1).otherwise(0)
-    logs = []
-    n_all = sum(total["c"])
-    prior_of = [(F.lit(total["c"][k]) - own(k) + 1) / (F.lit(n_all) - F.when(F.col("vote").isNotNull(), 1).otherwise(0) + size) for k in range(size)]
-    for x in levels:
-        others = F.aggregate(f"c_{x}", F.lit(0).cast("bigint"), lambda a, b: a + b) - F.when(F.col("vote").isNotNull(), 1).otherwise(0)
-        out = out.withColumn(f"__p_{x}", F.array(*[(F.get(f"c_{x}", F.lit(k)) - own(k) + strength * prior_of[k]) / (others + strength) for k in range(size)]))
-        prior_of = [F.get(f"__p_{x}", F.lit(k)) for k in range(size)]
-    for k in range(size):
-        terms = F.get("scores", F.lit(k)) + F.log(prior_of[k])
-        for x in features:
-            kinds = max(1, total[f"n_{x}"])
-            terms = terms + F.log((F.get(f"c_{x}", F.lit(k)) - own(k) + alpha) / (F.lit(total["c"][k]) - own(k) + alpha * kinds))
-        logs.append(terms)
-    out = out.withColumn("__logs", F.array(*logs))
+    voted = rows.select("row", "id", F.concat(F.lit("source:"), F.coalesce("source", F.lit(""))).alias("own_host"), F.when(F.col("n_trigrams") > 0, best(F.col("scores"))).alias("vote"))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), plain(c).alias("value")) for c in FEATURES])
+    by_page = written(pages.filter("doc_id is not null").select("doc_id", F.explode(values).alias("x")).select("doc_id", "x.*").distinct(), "page-values")
+    by_host = written(pages.filter("doc_id is not null").select("doc_id", plain("host").alias("host"), plain("domain").alias("domain")).distinct(), "page-hosts")
+    voted = written(voted, "votes")
+    without_page = voted.join(by_host.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    nothing = without_page.select("row", "vote", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit("").alias("value")) for c in FEATURES])).alias("x")).select("row", "vote", "x.*")
+    feature_pairs = written(voted.join(by_page, F.col("id") == F.col("doc_id")).select("row", "vote", "feature", "value").union(nothing), "feature-pairs")
+    host_pairs = written(voted.join(by_host, F.col("id") == F.col("doc_id")).select("row", "vote", "host", "domain").union(without_page.select("row", "vote", F.col("own_host").alias("host"), F.lit("source").alias("domain"))), "host-pairs")
+    out = rows.join(_feature_logs(feature_pairs, size, alpha), "row").join(_host_logs(host_pairs, size, strength), "row")
+    out = out.withColumn("__logs", F.array(*[_of("scores", k) + F.col(f"l{k}") + F.col(f"p{k}") for k in range(size)]))
     top = F.array_max("__logs")
     norm = F.aggregate(F.transform("__logs", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b)
     label = F.array(*map(F.lit, names))
@@ -139,7 +180,7 @@ def fuse(rows: DataFrame, languages: tuple[str, ...], *, carry: tuple[str, ...],
         *carry,
         F.when(seen, F.element_at(label, best(F.col("__logs")) + 1)).otherwise(UNKNOWN).alias("language"),
         F.when(seen, 1 / norm).otherwise(0.0).alias("posterior"),
-        F.when(seen, F.element_at(label, F.col("vote") + 1)).otherwise(UNKNOWN).alias("text_language"),
+        F.when(seen, F.element_at(label, best(F.col("scores")) + 1)).otherwise(UNKNOWN).alias("text_language"),
     )
 
 
@@ -149,30 +190,29 @@ def declared_of(html: Column) -> Column:
 
 
 def page_evidence(pages: DataFrame, document: Column, host: Column, domain: Column, suffix: Column, path: Column, *, html: str = "html") -> DataFrame:
-    """(doc_id, declared, suffix, folder, domain, host) of the first page of each document (the least of these values)."""
+    """(doc_id, declared, suffix, folder, domain, host) of every page that names a document."""
     folder = lower_ascii(F.regexp_extract(path, "^/([A-Za-z]{2})(?:/|$)", 1))
-    each = pages.select(document.alias("doc_id"), F.struct(declared_of(F.col(html)).alias("declared"), suffix.alias("suffix"), folder.alias("folder"), domain.alias("domain"), host.alias("host")).alias("e"))
-    return each.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("e").alias("e")).select("doc_id", "e.*")
+    each = pages.select(document.alias("doc_id"), declared_of(F.col(html)).alias("declared"), suffix.alias("suffix"), folder.alias("folder"), domain.alias("domain"), host.alias("host"))
+    return each.filter(F.col("doc_id").isNotNull())
 
 
 def identify(docs: DataFrame, evidence: DataFrame | None, languages: tuple[str, ...], *, text: str = "text", label: str = "lang", source: str = "source", id_column: str = "doc_id", carry: tuple[str, ...] = (), sample: int = 100, weight: int = 60, least: float = 0.5) -> DataFrame:
     """Each row of docs: (id, *carry, language, posterior, text_language, kept).
 
-    evidence: see page_evidence; a document without a page is judged with its source as host and its label as declaration.
-    A row is kept if its language is one of languages with a posterior of at least `least`.
+    evidence: see page_evidence; None: no document has a page. label is read for the fitted sample only. A row is kept if
+    its language is one of languages with a posterior of at least `least`.
     """
+    carry = carried(carry, id_column, "language", "posterior", "text_language", "kept")
     model = fit(docs, languages, text=text, label=label, id_column=id_column, sample=sample)
-    declared = F.split_part(lower_ascii(F.coalesce(F.col(label), F.lit(""))), F.lit("-"), F.lit(1))
-    plain = docs.select(F.col(id_column).alias("__id"), *carry, whole(text).alias("body"), declared.alias("own_declared"), F.concat(F.lit("source:"), F.coalesce(F.col(source), F.lit(""))).alias("own_host"))
-    scored = written(score_texts(plain, model, languages, text="body", carry=("__id", *carry, "own_declared", "own_host"), weight=weight), "text-scores")
+    named = {f"__c{k}": c for k, c in enumerate(carry)}
+    plain = docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), *[F.col(c).alias(n) for n, c in named.items()], whole(text).alias("body"))
+    scored = score_texts(plain, model, languages, text="body", carry=("id", "source", *named), weight=weight)
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "text-scores")  # written: a row keeps its number
     if evidence is None:
-        evidence = scored.sparkSession.createDataFrame([], "doc_id bigint, declared string, suffix string, folder string, domain string, host string")
-    linked = scored.join(evidence.withColumnRenamed("doc_id", "__id").withColumn("__page", F.lit(True)), "__id", "left")
-    either = lambda page, own: F.when(F.col("__page"), F.col(page)).otherwise(own)
-    rows = linked.select("__id", *carry, "scores", "n_trigrams", either("declared", F.col("own_declared")).alias("declared"), either("suffix", F.lit("source")).alias("suffix"), either("folder", F.lit("")).alias("folder"), either("domain", F.lit("source")).alias("domain"), either("host", F.col("own_host")).alias("host"))
-    fused = fuse(written(rows, "evidence"), languages, carry=("__id", *carry))
+        evidence = scored.sparkSession.createDataFrame([], EVIDENCE)
+    fused = fuse(scored, evidence, languages, carry=("id", *named))
     kept = F.col("language").isin(*languages) & (F.col("posterior") >= least)
-    return fused.withColumn("kept", kept).withColumnRenamed("__id", id_column)
+    return fused.withColumn("kept", kept).select(F.col("id").alias(id_column), *[F.col(n).alias(c) for n, c in named.items()], "language", "posterior", "text_language", "kept")
 
 
 def keep_known(docs: DataFrame, evidence: DataFrame | None, languages: tuple[str, ...], **options) -> DataFrame:

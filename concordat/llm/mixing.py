@@ -17,7 +17,8 @@ of all rows is 2^block_bits numbers; only the border block's rows, one block of
 Every row then decides by itself from its source's few numbers.
 
 Defined results: a null source is a source of its own. Rows without tokens cost nothing and take part like others. Rows
-of the same identity and text share a hash, and go together. An empty table gives an empty mix.
+of the same identity and text share a hash, and go together. An empty table gives an empty mix. A carried column named
+like an output takes its place.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ fail validation are left alone.
 The work is one pass over whole texts without a shuffle.
 
 Defined results: null text stays null. Repeated rows each get the same result. Overlapping candidates: the earlier wins,
-of equal starts the earlier kind in KINDS.
+of equal starts the earlier kind in KINDS. An empty table gives an empty result. A carried column named like an output is
+left out.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.shared import carried
+
 ROUNDS = 8
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _AREA, _EXCHANGE = 800, 800  # 200 to 999
@@ -293,6 +296,7 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """Each row of docs: (*carry, text, spans of the original text). back: undoes it with the same key."""
+    carry = carried(carry, "text", "spans")
     rows = docs.select(*carry, F.col(text).alias("__text"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 

@@ -21,8 +21,8 @@ DOCUMENT_OF_PAGE = "^/[^/]*/([0-9]{1,18})(?:[^0-9]|$)"
 
 LANGUAGES = ("en", "fr", "de", "es")
 MIX = {"entropy": 0.9, "repetition": 2.0, "budget": "cover"}
-#: A fixed key keeps runs comparable; production passes a secret of its own.
-PII_KEY = b"concordat: a key for comparable runs"
+#: A deployment sets spark.concordat.piiKey to a secret of its own; this fixed key is for tests and comparable runs only.
+TEST_KEY = "concordat: a key for comparable runs"
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = scratch(spark, "token-cache")
+    # A deployment names its lasting cache; without one, a run begins with an empty one.
+    cache = spark.conf.get("spark.concordat.tokenCache", None) or scratch(spark, "token-cache")
     counts = token_cache.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_50K), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
@@ -45,7 +46,8 @@ def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pseudonym.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    key = spark.conf.get("spark.concordat.piiKey", TEST_KEY)
+    rows = pseudonym.pseudonymise(table(spark, sf_dir, "documents"), key.encode())
     return rows.select("doc_id", "text", "spans", F.size("spans").cast("bigint").alias("n_values"))
 
 
@@ -135,7 +137,7 @@ from split join known using (host)"""
 
 def _line_sql() -> str:
     r = line_clean.DEFAULTS
-    word = line_clean.WORD.replace(r"\x20\x09-\x0D", r"\x{20}\x{09}-\x{0D}")
+    word, notice = line_clean.WORD.replace(r"\x20\x09-\x0D", r"\x{20}\x{09}-\x{0D}"), line_clean.NOTICE.replace("'", "''")
     return rf"""
 with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 words as (select r, unnest(regexp_extract_all(text, '{word}')) as w, generate_subscripts(regexp_extract_all(text, '{word}'), 1) as i from texts),
@@ -148,12 +150,17 @@ judged as (
     len(regexp_extract_all(line, '{word}')) as n,
     len(regexp_extract_all(line, '{line_clean.SYMBOLS}')) as symbols,
     len(regexp_extract_all(line, '{line_clean.SEPARATORS}')) as parts,
-    row_number() over (partition by r, line order by i) > 1 as again from lines),
+    row_number() over (partition by r, line order by i) > 1 as again,
+    coalesce(lag(line) over (partition by r order by i), '') as above from lines),
+common as (
+  select line from judged where n between {r['common_words']} and {r['notice_words']} group by 1
+  having count(distinct above) >= greatest({r['common_least']}, (select count(*) from documents) * {r['common_share']}) and 2 * count(distinct above) >= count(*)),
 faults as (
   select *, chars > 0 and (again
     or n >= {r['long_line']} and not regexp_matches(line, '{line_clean.MARKS}') or n >= 5 and 2 * symbols > n
     or parts >= {r['separators']} and n <= 4 * parts
-    or n <= {r['notice_words']} and regexp_matches(line, '{line_clean.NOTICE}')) as fault from judged),
+    or n <= {r['notice_words']} and regexp_matches(line, '{notice}')
+    or line in (select line from common)) as fault from judged),
 by_text as (
   select r, sum(chars) as total, count(*) filter (again and chars > 0) as dups, count(*) filter (fault) as failed,
     coalesce(sum(chars) filter (fault), 0) as lost, coalesce(string_agg(line, chr(10) order by i) filter (not fault), '') as clean

@@ -32,6 +32,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes one file of bounded size to the shared folder, of whatever file system it is; returns its address."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(hadoop).create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.getFileSystem(hadoop).makeQualified(path).toString()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: later reads don't compute it again, and a lost executor takes nothing with it."""
     path = scratch(df.sparkSession, name)
@@ -61,6 +73,12 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
+def carried(carry: tuple[str, ...], *made: str) -> tuple[str, ...]:
+    """The carried columns without those that are named like an output (in any case): the output takes the name."""
+    taken = {x.lower() for x in made}
+    return tuple(c for c in carry if c.lower() not in taken)
+
+
 def whole(text: str | Column) -> Column:
     """A text column, null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -8,14 +8,17 @@ at most r dimensions, so some v is orthogonal to all of them: every pair within
 Work follows distinct fingerprints, never pairs of documents: equal fingerprints become one first. A bucket of two is
 compared in place. A bucket of at most CROWD is split into its own components in one sweep and gives one link for each
 member at most. The members of a larger bucket agree on the key's bits, so the same covering is applied to the remaining
-bits, and again below; three levels leave at most 2^7 different fingerprints a bucket. No bucket is cut.
+bits, and again below; three levels leave at most 2^8 different fingerprints a bucket at radius 3, 2^15 at radius 6. A
+level's masks follow from the mask above it, where they are needed, so no plan lists them. No bucket is cut.
 
 Where `keep_first` is given a similarity, fingerprints only propose: the texts of each component are compared by the sets
 of their word shingles, and only links that hold exactly enter the components that lose rows. Prefixes of the sets, rarest
-shingles first, find the pairs to compare without a loss. A component's shingles are held by one task.
+shingles first, find the pairs to compare without a loss. A task holds two blocks of a component, of BLOCK bytes of text
+each (or one text); a larger component is compared block by block, every block with every other.
 
 Defined results: null text counts as empty and has fingerprint 0, which links like any other. Rows that repeat, or share
-an id, each get the result. Null ids are passed over by the smallest id of a component; it is null if all are.
+an id, each get the result. Null ids are passed over by the smallest id of a component; it is null if all are. Ties of ids
+are broken by the row's place. An empty table gives an empty result. A carried column named like an output is left out.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.components import components
-from concordat.llm.shared import FILE, ROW, located, whole, without, written
+from concordat.llm.shared import FILE, ROW, carried, located, whole, without, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets of more fingerprints than this go one level down instead of being compared at once.
 CROWD = 1024
 #: Tables that are filled and compared in one round.
 ROUND = 16
+#: Bytes of text of one component that a task holds twice at most when texts are compared.
+BLOCK = 16 << 20
 _BLOCK = 1 << 15
 
 
@@ -60,6 +65,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """Each row of docs: (*carry, fp) with fp the fingerprint's 64 bits as a bigint."""
+    carry = carried(carry, "fp")
     rows = docs.select(*carry, whole(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,22 +109,30 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _tables(level: int, radius: int) -> list[tuple[int, int]]:
-    """(table, mask) of a level; the table of the level above is table // (2^(radius+1) - 1)."""
-    tables = [(0, 0)]
-    for _ in range(level):
-        tables = [(t * ((1 << radius + 1) - 1) + k, kept | mask) for t, kept in tables for k, mask in enumerate(covering([b for b in range(64) if not kept >> b & 1], radius))]
-    return tables
+@lru_cache(maxsize=4096)
+def masks_below(mask: int, radius: int) -> tuple[int, ...]:
+    """The masks of the tables below the table with this (signed) mask: what it keeps, and a covering of the rest."""
+    kept = mask % (1 << 64)
+    return tuple(_signed(kept | m) for m in covering([b for b in range(64) if not kept >> b & 1], radius))
 
 
 def _keyed(rows: DataFrame, level: int, radius: int, tables: range) -> DataFrame:
-    """rows (fp, and below the first level their table above) with (table, key) for some of each row's tables of the level."""
-    n = (1 << radius + 1) - 1
-    masks = F.array(*[F.lit(_signed(m)) for _, m in _tables(level, radius)])
-    above = F.col("table") if level > 1 else F.lit(0)
-    fine = F.explode(F.sequence(above * n + tables.start, above * n + tables.stop - 1)).alias("table")
-    spread = rows.select("fp", fine)
-    return spread.select("fp", "table", F.col("fp").bitwiseAND(F.element_at(masks, F.col("table") + 1)).alias("key"))
+    """rows (fp, and below the first level the mask above) as (fp, mask, key) for some of each row's tables of the level."""
+    if level == 1:
+        spread = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in masks_below(0, radius)[tables.start : tables.stop]])
+        return rows.select("fp", F.explode(spread).alias("x")).select("fp", "x.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for at in range(0, x.num_rows, 4096):
+                fp, above = (np.array(c.slice(at, 4096)) for c in x.columns)
+                kinds, which = np.unique(above, return_inverse=True)
+                below = np.array([masks_below(int(m), radius)[tables.start : tables.stop] for m in kinds], np.int64).reshape(len(kinds), -1)
+                masks = below[which]
+                wide = np.repeat(fp, masks.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(wide), pa.array(masks.ravel()), pa.array(wide & masks.ravel())], ["fp", "mask", "key"])
+
+    return rows.select("fp", "mask").mapInArrow(run, "fp bigint, mask bigint, key bigint")
 
 
 def local_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -138,16 +152,16 @@ def local_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) within the buckets of rows(table, key, fp), of CROWD members at most or bounded by their free bits."""
-    dealt = rows.repartition("table", "key").sortWithinPartitions("table", "key")
+    """Links (a, b) within the buckets of rows(mask, key, fp), of CROWD members at most or bounded by their free bits."""
+    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: tuple[np.ndarray, ...] | None = None
         out: list[tuple[int, int]] = []
 
         def links(columns: tuple[np.ndarray, ...], last: bool) -> tuple[np.ndarray, ...] | None:
-            table, key, fp = columns
-            cut = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
+            mask, key, fp = columns
+            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             bounds = [0, *cut.tolist(), len(fp)]
             for a, b in zip(bounds[: None if last else -1], bounds[1 : None if last else -1]):
                 if b - a > 1:
@@ -168,7 +182,7 @@ def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
             links(left, True)
             yield batch()
 
-    return dealt.select("table", "key", "fp").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("mask", "key", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -187,16 +201,16 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
             size, below = (1 << radius + 1) - 1, []
             for start in range(0, size, ROUND):
                 keyed = _keyed(rows, level, radius, range(start, min(size, start + ROUND)))
-                buckets = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+                buckets = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
                 buckets = written(buckets, "buckets")
                 pairs = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
                 fits = F.col("n") <= crowd if level < 3 else F.lit(True)
-                more = buckets.filter("n > 2").select("table", "key", "n")
-                members = keyed.join(more.filter(fits).drop("n"), ["table", "key"])
+                more = buckets.filter("n > 2").select("mask", "key", "n")
+                members = keyed.join(more.filter(fits).drop("n"), ["mask", "key"])
                 found.append(written(pairs.union(_bucket_links(members, radius)), "links"))
                 crowded = more.filter(~fits)
                 if level < 3 and not crowded.isEmpty():
-                    below.append(written(keyed.join(crowded.drop("n"), ["table", "key"]).select("fp", "table"), "crowded"))
+                    below.append(written(keyed.join(crowded.drop("n"), ["mask", "key"]).select("fp", "mask"), "crowded"))
             if not below:
                 break
             rows = reduce(DataFrame.union, below)
@@ -276,30 +290,39 @@ def alike(sets: list[np.ndarray], least: float) -> list[int]:
     return label.tolist()
 
 
-def _unlike_first(bodies: DataFrame, order: list[Column], least: float, size: int) -> DataFrame:
-    """(FILE, ROW) of the rows of bodies(component, text, FILE, ROW) that follow another of their verified component in order."""
-    dealt = bodies.repartition("component").sortWithinPartitions("component", *order).select("component", "text", FILE, ROW)
+def _alike_links(bodies: DataFrame, least: float, size: int) -> DataFrame:
+    """Links (a, b) of alike rows of bodies(component, one, other, block, node, text), within each pair of blocks (one, other)."""
+    dealt = bodies.repartition("component", "one", "other").sortWithinPartitions("component", "one", "other", "node").select("component", "one", "other", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, places = None, [], []
+        now, sets, nodes = None, [], []
 
-        def later() -> pa.RecordBatch:
-            gone = [p for k, (p, first) in enumerate(zip(places, alike(sets, least))) if first != k]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in gone], pa.string()), pa.array([p[1] for p in gone], pa.int64())], [FILE, ROW])
+        def links() -> pa.RecordBatch:
+            found = [(nodes[first], nodes[k]) for k, first in enumerate(alike(sets, least)) if first != k]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["a", "b"])
 
         for x in batches:
-            for component, text, *place in zip(*(c.to_pylist() for c in x.columns)):
-                if component != now:
-                    yield later()
-                    now, sets, places = component, [], []
+            for *group, node, text in zip(*(c.to_pylist() for c in x.columns)):
+                if group != now:
+                    yield links()
+                    now, sets, nodes = group, [], []
                 sets.append(shingles(text, size))
-                places.append(place)
-        yield later()
+                nodes.append(node)
+        yield links()
+
+    return dealt.mapInArrow(run, "a string, b string")
+
 
-    return dealt.mapInArrow(run, f"{FILE} string, {ROW} bigint")
+def _blocked(proposed: DataFrame, block: int) -> DataFrame:
+    """proposed(component, node, size) with the pairs of blocks (one <= other) in which each row is compared."""
+    several = proposed.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    several = written(several.select("component", F.ceil(F.col("bytes") / block).alias("blocks")), "blocks")
+    held = proposed.join(several, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
+    each = held.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("blocks", F.lit(1)) - 1)))
+    return each.select("component", "node", F.least("block", "x").alias("one"), F.greatest("block", "x").alias("other"))
 
 
-def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD, similarity: float | None = None, compared: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD, similarity: float | None = None, compared: int = 5, block: int = BLOCK) -> DataFrame:
     """The rows of docs without near-duplicates: exactly one of each component, with the smallest id (then by place).
 
     similarity: links within the fingerprints' components count only if the sets of shingles of `compared` words are so alike.
@@ -310,8 +333,15 @@ def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id"
     if similarity is None:
         return without(here, named.filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}"))))
     # Two components that share a hash are compared as one, which changes nothing.
-    named = written(named.select(FILE, ROW, F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
-    several = named.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    proposed = written(named.join(several, "component"), "several")
-    texts = here.select(F.col(id_column).alias("id"), FILE, ROW, whole(text).alias("text")).join(proposed, [FILE, ROW])
-    return without(here, _unlike_first(texts, [F.col("id").asc_nulls_last(), F.col(FILE), F.col(ROW)], similarity, compared))
+    node = F.concat(FILE, F.lit("#"), F.lpad(F.col(ROW).cast("string"), 20, "0"))
+    named = written(named.select(FILE, ROW, F.col(id_column).alias("id"), node.alias("node"), F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
+    several = written(named.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
+    texts = here.select(FILE, ROW, whole(text).alias("text"), F.octet_length(whole(text)).cast("bigint").alias("size"))
+    proposed = written(named.join(several, "component").join(texts, [FILE, ROW]), "several-texts")
+    pairs = _blocked(proposed.select("component", "node", "size"), block)
+    links = _alike_links(proposed.select("component", "node", "text").join(pairs, ["component", "node"]), similarity, compared)
+    roots = components(written(links, "alike"))
+    linked = written(proposed.select("node", "id", FILE, ROW).join(roots, "node"), "linked")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", FILE, ROW)).alias("first"))
+    later = linked.join(first, "root").filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}")))
+    return without(here, later)

@@ -4,11 +4,13 @@ The cache is a table of (version, digest, n_tokens): version names the tokenizer
 rule), digest is the SHA-256 of the normalised text. Counting joins the documents' digests to it, encodes only the
 distinct texts that it misses, appends their counts, and reads the counts of all documents from it.
 
-Only distinct missing texts move, once: equal texts are combined before the shuffle, so a text that a third of the rows
-share is sent once by each task. The cache is appended by Spark's committer; a lost executor repeats its own tasks.
+Digests go first: they alone are grouped and asked for. Of each missed digest one row's place is chosen, and only the
+texts at these places are read again and encoded, so copies never move, a hit moves no text, and no digest is hot. The
+cache is appended by Spark's committer; a lost executor repeats its own tasks.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens). Repeated rows each get their count. Special strings in a
-text are handled as the library does by default. Nothing is cut or padded, and no begin or end tokens are added.
+text are handled as the library does by default. Nothing is cut or padded, and no begin or end tokens are added. An empty
+table gives an empty result. A carried column named like an output is left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import whole
+from concordat.llm.shared import FILE, ROW, carried, located, whole, written
 
 RULE = "plain-1"
 
@@ -77,26 +79,39 @@ def _cached(spark, cache: str, version: str) -> DataFrame | None:
     return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have added the same text
 
 
+def digest_of(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def _missing(here: DataFrame, body: Column, held: DataFrame | None) -> DataFrame:
+    """(FILE, ROW, digest): one place of each digest that the cache hasn't."""
+    found = here.select(digest_of(body).alias("digest"), F.struct(FILE, ROW).alias("place")).groupBy("digest").agg(F.min("place").alias("place"))
+    return (found if held is None else found.join(held, "digest", "left_anti")).select(f"place.{FILE}", f"place.{ROW}", "digest")
+
+
 def add_misses(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text", normalise: Callable[[Column], Column] = lambda x: x) -> str:
     """Encodes the distinct texts of docs that the cache misses and appends their counts; returns the version."""
     spark, version = docs.sparkSession, version_of(tokenizer)
-    body = normalise(whole(text))
-    distinct = docs.select(F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("body")).groupBy("digest").agg(F.first("body").alias("body"))
-    held = _cached(spark, cache, version)
-    missing = distinct if held is None else distinct.join(held, "digest", "left_anti")
+    here, body = located(docs), normalise(whole(text))
+    missing = written(_missing(here, body, _cached(spark, cache, version)), "missing")
+    texts = here.select(FILE, ROW, body.alias("body")).join(missing, [FILE, ROW]).select("digest", "body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(count(x.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+            for at in range(0, x.num_rows, 512):
+                part = x.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
-    missing.mapInArrow(encode, "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/version={version}")
+    texts.mapInArrow(encode, "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/version={version}")
     return version
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), normalise: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Each row of docs: (*carry, digest, n_bytes, n_tokens), through the cache at the path cache."""
     version = add_misses(docs, tokenizer, cache, text=text, normalise=normalise)
-    body = normalise(whole(text))
-    rows = docs.select(*carry, F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
-    return rows.join(_cached(docs.sparkSession, cache, version), "digest", "left").select(*carry, "digest", "n_bytes", "n_tokens")
+    body, carry = normalise(whole(text)), carried(carry, "digest", "n_bytes", "n_tokens")
+    rows = docs.select(*carry, digest_of(body).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
+    # As a written table the counts' size is known: Spark broadcasts them where they are few, else it may split a hot digest.
+    counts = written(_cached(docs.sparkSession, cache, version), "counts")
+    return rows.join(counts, "digest", "left").select(*carry, "digest", "n_bytes", "n_tokens")

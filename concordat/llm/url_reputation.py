@@ -10,7 +10,11 @@ text through a shuffle; the join of verdicts back to a hot host is a sort-merge
 
 Defined results: a null url, or one without "://", has an empty host and path and is judged as the host "" (an own
 group below the suffix ""). Outcomes that are null count as not labelled. Repeated rows count each time. An empty
-outcome table leaves the prior mean 1/10 (half a bad page in five) with the default strength, which blocks no host.
+outcome table leaves the prior mean 1/10 (half a bad page in five) with the default strength, which blocks no host. An
+empty table of pages gives an empty result. A carried column named like an output is left out. Of rules of equal length
+that fit (they then differ), the last in order of their text wins.
+
+The posterior's lower bound is the mean less z standard deviations, a normal approximation to the beta quantile.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import lower_ascii, written
+from concordat.llm.shared import carried, lower_ascii, written
 
 #: Public suffixes of two labels that the default list knows.
 TWO_LABEL_SUFFIXES = (
@@ -136,6 +140,7 @@ def reputation(
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", carry: tuple[str, ...] = ("page_id",), **options) -> DataFrame:
     """Each row of pages: (*carry, host, path, rule, verdict, bad_bound). options: see reputation."""
+    carry = carried(carry, "host", "path", "rule", "verdict", "bad_bound")
     split = pages.select(*carry, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     known = reputation(outcomes, split.select("host").distinct(), **options).select("host", F.col("verdict").alias("by_host"), "bad_bound")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)

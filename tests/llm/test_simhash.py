@@ -50,16 +50,32 @@ def test_fingerprint_of_blocks(monkeypatch):
     assert simhash.fingerprint(text) % (1 << 64) == brute_fingerprint(text)
 
 
+def masks_of(level, radius):
+    masks = [0]
+    for _ in range(level):
+        masks = [m for above in masks for m in simhash.masks_below(above, radius)]
+    return masks
+
+
 @pytest.mark.parametrize("level", [1, 2, 3])
 def test_masks_cover_every_pair(level):
     random.seed(level)
-    masks = [m for _, m in simhash._tables(level, 3)]
+    masks = masks_of(level, 3)
     assert len(masks) == 15**level
     for _ in range(300):
         differing = sum({1 << b for b in random.sample(range(64), random.randint(0, 3))})
         assert any(not m & differing for m in masks)
 
 
+@pytest.mark.parametrize("radius,most", [(3, 8), (6, 15)])
+def test_last_level_is_bounded(radius, most):
+    """A level's free bits depend on the number of free bits above alone."""
+    free = {64}
+    for _ in range(3):
+        free = {n - m.bit_count() for n in free for m in simhash.covering(list(range(n)), radius)}
+    assert max(free) <= most
+
+
 @pytest.mark.parametrize("radius", [1, 2, 5, 6])
 def test_masks_of_other_radii(radius):
     random.seed(radius)
@@ -82,22 +98,19 @@ def test_large_buckets_in_blocks():
     assert [int(found.get(int(x), int(x))) for x in small] == [int(small[k]) for k in want]
 
 
-def test_last_level_is_bounded():
-    assert max(64 - m.bit_count() for _, m in simhash._tables(3, 3)) <= 8
-
-
-@pytest.mark.parametrize("crowd", [1024, 4, 2])
-def test_links_connect_what_brute_force_connects(spark, crowd):
+@pytest.mark.parametrize("crowd,radius", [(1024, 3), (4, 3), (2, 3), (1024, 6), (14, 6)])
+def test_links_connect_what_brute_force_connects(spark, crowd, radius):
     rng = np.random.default_rng(5)
     values = list(map(int, rng.integers(0, 1 << 63, 60)))
     for v in values[:4]:  # dense groups
-        values += [v ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for _ in range(40)]
+        values += [v ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, radius + 2), replace=False)) for _ in range(40)]
     values = sorted(set(values))
     frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp bigint")
-    links = simhash.near_links(frame, crowd=crowd)
+    links = simhash.near_links(frame, radius, crowd=crowd)
     root = {r.node: r.root for r in components(links).collect()}
     ours = [root.get(simhash._signed(v), simhash._signed(v)) for v in values]
-    assert len(set(zip(ours, brute_roots(values)))) == len(set(ours)) == len(set(brute_roots(values)))
+    want = brute_roots(values, radius)
+    assert len(set(zip(ours, want))) == len(set(ours)) == len(set(want))
 
 
 def test_query_equals_brute_force(spark):
@@ -131,3 +144,37 @@ def test_keep_first_keeps_one_of_each(spark):
     rows = [(3, "a b c d", 1), (2, "a b c d", 2), (2, "A b c d", 3), (None, "a b c d", 4), (9, "quite another text here", 5)]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, first int")).collect()
     assert sorted(r.doc_id for r in kept) == [2, 9] and set(kept[0].asDict()) == {"doc_id", "text", "first"}
+
+
+def jaccard(a, b, size=5):
+    def sets(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} or {tuple(words)}
+
+    return len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+
+
+@pytest.mark.parametrize("block", [1 << 24, 700])
+def test_compared_texts_by_blocks(spark, block, monkeypatch):
+    """Links count by the texts themselves, and blocks change nothing. All texts are proposed as one component."""
+    from concordat.llm.shared import FILE, ROW
+    from pyspark.sql import functions as F
+
+    one = F.struct(F.lit(False).alias("absent"), F.lit(0).alias("id"), F.lit("").alias(FILE), F.lit(0).alias(ROW))
+    monkeypatch.setattr(simhash, "classed", lambda rows, **_: rows.withColumn("first", one))
+    random.seed(4)
+    base = [f"w{random.randint(0, 999)}" for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 40):
+        words = list(base)
+        for at in random.sample(range(60), random.randint(0, 4)):
+            words[at] = f"x{k}{at}"
+        rows.append((k, " ".join(words)))
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), similarity=0.8, block=block).collect())
+    root = list(range(len(rows)))
+    for _ in rows:  # spread the least label along exact links
+        for a, x in rows:
+            for b, y in rows:
+                if jaccard(x, y) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert kept == sorted(set(root)) and 1 < len(kept) < 40
