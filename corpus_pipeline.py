@@ -7,6 +7,12 @@ mix        sources are read as often as the target weights say, every document a
 encode     whole texts become token ids
 
 The columns are those of documents until the last stage, which returns one row for each document read with its ids.
+
+Defined results: a null or empty text has no language, so its row goes in the first stage; very long texts are read whole.
+Rows with a null doc_id or source take part like others: of equal texts a row with an id stays before one without, of near
+copies too. Ties of ids are broken by the row's place. Repeated rows are exact copies, of which one stays. Empty tables
+give an empty result; without pages no document declares a language. Extra columns pass through; the last stage's ids and
+n_tokens take the place of columns with these names.
 """
 
 from __future__ import annotations
@@ -43,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(queries.BPE_50K)
-    kept = [c for c in docs.columns if c not in ("text", "ids")]
-    rows = bpe.encode(docs, vocabulary, bpe.ship_lexicon(docs, vocabulary), carry=tuple(kept))
+    kept = tuple(c for c in docs.columns if c not in ("text", "n_tokens"))
+    rows = bpe.encode(docs, vocabulary, bpe.ship_lexicon(docs, vocabulary), carry=kept)
     return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 
