@@ -1,11 +1,12 @@
-"""Classifiers of file names, table headers, samples, species and readiness, as column expressions."""
+"""Classifiers of file names, table headers, samples and species, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.text import field, looked_up
+from concordat.functions.text import field
+from concordat.operators.ranking import global_rank
 
 # Patterns of file names, without regard to case.
 REJECTED = r"raw\.tar|\.mtx(?:\.gz)?$|\.h5(?:ad)?$|barcodes|features\.tsv|\.bam(?:\.gz)?$|\.bed(?:\.gz)?$|\.bw$|\.bigwig$|fastq|readme|filelist"
@@ -22,13 +23,14 @@ LFC_UNCLEAR = r"fold[_. ]?change|foldchange|(?:^|_)beta$|effect[_. ]?size"
 PADJ = r"padj|adj[_. ]?p|adjusted[_. ]?p|fdr|q[_. ]?value|qvalue|qval"
 PVALUE = r"p[_. ]?value|pvalue|pval|p_val|^p$"
 NOT_SAMPLE = r"^(?:gene[_. ]?)?(?:start|stop|end|length|strand|chrom(?:osome)?|chr)|^(?:description|annotation|biotype|entrez|transcript|feature|base[_. ]?mean|mean|average|avg|ave[_. ]?expr|age|batch|sex|gender|quality|qc|group|condition|phenotype|class)|(?:log2?[_. ]?fc|fold[_. ]?change|p[_. ]?value|pval|padj|adj[_. ]?p[_. ]?val|fdr|q[_. ]?value|stat(?:istic)?|score|stderr|std[_. ]?error|se|df|degrees[_. ]?of[_. ]?freedom)$|^(?:t|b)$"
-# Names of the two target species, labels that say nothing, readiness tiers in order.
+STATISTIC = r"^(?:ave[_. ]?expr|t|b|stat(?:istic)?|score|log2?[_. ]?fc|fold[_. ]?change|p[_. ]?value|pval|padj|adj[_. ]?p[_. ]?val|fdr|q[_. ]?value)$"
+SAMPLE = r"^(?:GSM|SRR|ERR|DRR)\d+$|(?:^|[_ .-])(?:ctrl|control|case|treat(?:ed|ment)?|vehicle|untreated|baseline|wt|ko|knockout|hypox\w*|normox\w*|hox|nox|rep(?:licate)?|sample|donor|patient|subject|culture)(?:[_ .-]?\w+)*$"
+# Names of the two target species, labels that say nothing.
 SPECIES = {
     "Human": ("human", "homo sapiens", "hs", "h sapiens", "9606"),
     "Mouse": ("mouse", "mus musculus", "mm", "m musculus", "10090"),
 }
 NO_SPECIES = ("unknown", "not reported", "not available", "mixed", "multiple", "other")
-TIERS = ("verified_ready", "likely_ready", "candidate", "mixed_quarantined", "metadata_only")
 
 
 def _like(value: Column, pattern: str) -> Column:
@@ -42,39 +44,76 @@ def file_name(address: Column) -> Column:
 
 
 def filename_class(address: Column) -> Column:
-    """struct(tier, role, inspectable) by the name alone; the first pattern that fits decides."""
+    """struct(tier, role, inspectable, reason) by the name alone; the first pattern that fits decides."""
     name = file_name(address)
     tabular = _like(name, TABULAR)
-    tier = F.when(_like(name, REJECTED), "reject").when(_like(name, COUNTS) | _like(name, EXPRESSION), "upstream").when(_like(name, STRONG), "strong").when(tabular, "weak").otherwise("unsupported")
-    role = F.when(_like(name, REJECTED), "unsupported").when(_like(name, COUNTS), "count_matrix").when(_like(name, EXPRESSION), "normalized_expression_matrix").when(_like(name, STRONG), "deg_table").when(tabular, "unknown_table").otherwise("unsupported")
-    return F.struct(tier.alias("tier"), role.alias("role"), (tabular & ~_like(name, REJECTED)).alias("inspectable"))
+    kinds = [  # pattern, tier, role, reason
+        (_like(name, REJECTED), "reject", "unsupported", "sequences, an archive, a sparse matrix or notes"),
+        (_like(name, COUNTS), "upstream", "count_matrix", "a count matrix by its name; groups and contrast are needed"),
+        (_like(name, EXPRESSION), "upstream", "normalized_expression_matrix", "an expression matrix by its name; scale, annotation and groups are needed"),
+        (_like(name, STRONG), "strong", "deg_table", "the name speaks of differential expression"),
+        (tabular & _like(name, WEAK), "weak", "unknown_table", "a processed or supplementary table by its name"),
+        (tabular, "weak", "unknown_table", "a table whose name says nothing"),
+    ]
+
+    def first(k: int, otherwise: str) -> Column:
+        out = F.lit(otherwise)
+        for kind in reversed(kinds):
+            out = F.when(kind[0], kind[k]).otherwise(out)
+        return out
+
+    return F.struct(first(1, "unsupported").alias("tier"), first(2, "unsupported").alias("role"), (tabular & ~_like(name, REJECTED)).alias("inspectable"), first(3, "not a table, or of an unsupported type").alias("reason"))
 
 
 def header_class(columns: Column) -> Column:
-    """struct(status, gene, lfc, p, padj) of an array of column names."""
-    names = F.filter(F.transform(columns, F.trim), lambda x: (x != "") & (F.lower(x) != "nan"))
+    """What an array of column names can be mapped to.
+
+    struct(status, reason, gene, lfc, p, padj, gene_columns, lfc_columns, p_columns, padj_columns, lfc_scale_explicit)
+    """
+    names = F.filter(F.transform(columns, lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "nan"))
     pick = lambda pattern: F.filter(names, lambda x: _like(x, pattern))
-    priority = lambda x: F.when(_like(x, r"symbol|hgnc|hugo|gene[_. ]?name"), 0).when(_like(x, r"ensembl|gene[_. ]?id|geneid"), 1).when(F.lower(x) == "gene", 2).when(F.lower(x) == "id_ref", 3).otherwise(4)
-    first_gene = lambda found: F.get(F.array_sort(F.transform(found, lambda x: F.struct(priority(x).alias("k"), F.lower(x).alias("l"), x.alias("x")))), F.lit(0))["x"]
+    first = lambda found: F.get(found, F.lit(0))
     clear = pick(LFC_CLEAR)
     unclear = F.filter(pick(LFC_UNCLEAR), lambda x: ~_like(x, LFC_CLEAR))
+    effects = F.concat(clear, unclear)
     padj = pick(PADJ)
     p = F.filter(pick(PVALUE), lambda x: ~_like(x, PADJ))
-    gene = F.coalesce(first_gene(pick(GENE_EXACT)), first_gene(pick(GENE_LOOSE)))
-    lfc = F.coalesce(F.get(clear, F.lit(0)), F.get(unclear, F.lit(0)))
+    exact = pick(GENE_EXACT)
+    genes = F.when(F.size(exact) > 0, exact).otherwise(pick(GENE_LOOSE))
+    gene, lfc = first_gene(genes), first(effects)
     whole = gene.isNotNull() & lfc.isNotNull()
-    several = (F.size(clear) + F.size(unclear) > 1) | (F.size(p) > 1)
-    status = F.when(whole & (F.size(p) > 0), F.when(several, "requires_column_mapping").when(F.size(clear) > 0, "candidate_header").otherwise("requires_lfc_confirmation")).when(whole & (F.size(padj) > 0), "requires_pvalue_mapping").otherwise("not_deg_table")
-    return F.struct(status.alias("status"), gene.alias("gene"), lfc.alias("lfc"), F.get(p, F.lit(0)).alias("p"), F.get(padj, F.lit(0)).alias("padj"))
+    several = (F.size(effects) > 1) | (F.size(p) > 1)
+    cases = [
+        (whole & (F.size(p) > 0) & several, "requires_column_mapping", "several effect or p-value columns: map one contrast"),
+        (whole & (F.size(p) > 0) & (F.size(clear) > 0), "candidate_header", "columns of gene, log2 fold change and p-value"),
+        (whole & (F.size(p) > 0), "requires_lfc_confirmation", "the effect's scale isn't said to be log2"),
+        (whole & (F.size(padj) > 0), "requires_pvalue_mapping", "only adjusted p-values are there"),
+    ]
+    status, reason = F.lit("not_deg_table"), F.lit("no column of gene, log2 fold change or p-value")
+    for fits, s, r in reversed(cases):
+        status, reason = F.when(fits, s).otherwise(status), F.when(fits, r).otherwise(reason)
+    return F.struct(
+        status.alias("status"), reason.alias("reason"), gene.alias("gene"), lfc.alias("lfc"), first(p).alias("p"), first(padj).alias("padj"),
+        genes.alias("gene_columns"), effects.alias("lfc_columns"), p.alias("p_columns"), padj.alias("padj_columns"), (F.size(clear) > 0).alias("lfc_scale_explicit"),
+    )
+
+
+def first_gene(names: Column) -> Column:
+    """Of column names that may hold entities the one that most likely does: symbols, then ids, then others, by name."""
+    priority = lambda x: F.when(_like(x, r"symbol|hgnc|hugo|gene[_. ]?name"), 0).when(_like(x, r"ensembl|gene[_. ]?id|geneid"), 1).when(F.lower(x) == "gene", 2).when(F.lower(x) == "id_ref", 3).otherwise(4)
+    ordered = F.array_sort(F.transform(names, lambda x, k: F.struct(priority(x).alias("p"), F.lower(x).alias("l"), k.alias("k"), x.alias("x"))))
+    return F.get(ordered, F.lit(0))["x"]
 
 
 def looks_like_sample(name: Column) -> Column:
-    return (F.trim(name) != "") & ~_like(F.trim(name), NOT_SAMPLE) & F.trim(name).rlike(r"\d")
+    """Whether a column's name is that of a sample: a group or replicate word, an accession, or anything with a digit."""
+    text = F.trim(name)
+    return (text != "") & ~_like(text, NOT_SAMPLE) & (_like(text, SAMPLE) | text.rlike(r"\d"))
 
 
 def numeric_share(values: Column, unit_interval: bool = False) -> Column:
     """The share of an array's non-missing texts that are finite numbers (in [0, 1])."""
-    seen = F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & ~F.lower(x).isin("", "na", "nan", "null", "none"))
+    seen = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & ~F.lower(x).isin("", "na", "nan", "null", "none"))
     good = F.filter(seen, lambda x: F.coalesce((F.abs(x.try_cast("double")) < float("inf")) & (x.try_cast("double").between(0, 1) if unit_interval else F.lit(True)), F.lit(False)))
     return F.coalesce(F.try_divide(F.size(good).cast("double"), F.size(seen)), F.lit(0.0))
 
@@ -112,19 +151,17 @@ def species_decision(labels: Column, target: str, verified: Column, quarantined:
     )
 
 
-def readiness(decision: Column, has_file: Column, has_accession: Column) -> Column:
-    """struct(tier, priority): how near a record is to being usable, by its species, files and accessions."""
-    usable = decision.isin("target_species_verified", "mixed_rescued")
-    tier = F.when(decision == "mixed_quarantined", "mixed_quarantined").when(usable & has_file, "verified_ready").when(has_file, "likely_ready").when(has_accession, "candidate").otherwise("metadata_only")
-    return F.struct(tier.alias("tier"), looked_up({t: k for k, t in enumerate(TIERS)}, tier).alias("priority"))
+def publication_rank(records: DataFrame, sort: str = "readiness", descending: bool = False) -> DataFrame:
+    """records with rank: by readiness (priority, relevance, newest, id), relevance, year (newest first) or title.
 
-
-def publication_rank(records: DataFrame, sort: str = "readiness") -> DataFrame:
-    """Records in the order of readiness (priority, relevance, newest, id), relevance, year or title."""
-    orders = {"readiness": ["priority", "relevance_rank", F.col("year").desc_nulls_last()], "relevance": ["relevance_rank"], "year": [F.col("year").desc_nulls_last(), "relevance_rank"], "title": [F.lower("title").asc_nulls_last()]}
+    descending turns the chosen key around, not the ties behind it.
+    """
+    newest = F.col("year").desc_nulls_last()
+    orders = {"readiness": (F.col("priority"), False, [F.col("relevance_rank"), newest]), "relevance": (F.col("relevance_rank"), False, []), "year": (F.col("year"), True, [F.col("relevance_rank")]), "title": (F.lower("title"), False, [])}
     if sort not in orders:
         raise ValueError(f"sort must be one of {sorted(orders)}")
-    return records.orderBy(*orders[sort], "record_id")
+    key, down, then = orders[sort]
+    return global_rank(records, key, [*then, F.col("record_id")], "rank", descending=down != descending)
 
 
 def identifiers(records: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

@@ -100,8 +100,7 @@ def rank_product(units: DataFrame, least: int = 2) -> DataFrame:
 def consensus(harmonized: DataFrame, least: int = 2, units: DataFrame | None = None) -> DataFrame:
     """Stouffer and rank product together with adjusted p, and slice_rank by (padj, p, -log10 p descending, entity)."""
     units = settled(collapse(harmonized)) if units is None else units
-    both = settled(stouffer(units, least).join(rank_product(units, least), "gene_symbol", "left"))
-    n = both.count()
-    adjusted = bh_adjust(both, "stouffer_p", "stouffer_padj", n=n)
+    both = stouffer(units, least).join(rank_product(units, least), "gene_symbol", "left")
+    adjusted = bh_adjust(both, "stouffer_p", "stouffer_padj")
     # Ordering by p is ordering by padj, then p, where adjusted values tie; the log tells underflowed p apart.
-    return global_rank(adjusted, -F.col("stouffer_neglog10_p"), [F.col("gene_symbol")], "slice_rank", n=n)
+    return global_rank(adjusted, -F.col("stouffer_neglog10_p"), [F.col("gene_symbol")], "slice_rank")

@@ -23,7 +23,7 @@ def _least_of(label: Column, one, none: float) -> Column:
     """The least weight of a list of labels joined by semicolons."""
     clean = F.lower(F.trim(F.coalesce(label, F.lit(""))))
     clean = F.when(clean.isin("nan", "<na>"), "").otherwise(clean)
-    parts = F.filter(F.transform(F.split(clean, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(clean, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.contains(clean, F.lit(";")), F.coalesce(F.array_min(F.transform(parts, one)), F.lit(none))).otherwise(one(clean))
 
 
@@ -81,7 +81,7 @@ def evidence(harmonized: DataFrame) -> DataFrame:
         F.min("pvalue").alias("min_source_pvalue"),
         F.min(F.col("padj").cast("double")).alias("min_source_padj"),
     )
-    out = collapse(rows, eligible=True).join(by_entity, ["gene_symbol", "source_unit_id"]).join(F.broadcast(by_unit), "source_unit_id")  # one row for each unit
+    out = collapse(rows, eligible=True).join(by_entity, ["gene_symbol", "source_unit_id"]).join(by_unit, "source_unit_id")
     out = out.withColumn("__a", F.abs("signed_z")).withColumn("aggregate_pvalue", 2 * F.exp(log_sf("__a"))).drop("__a")
     quality = clipped(type_weight(F.col("source_input_type")) * scope_weight(F.col("table_scope")) * replicate_weight(F.col("n_ctrl"), F.col("n_treat")))
     out = out.withColumn("source_quality_weight", quality)
@@ -144,10 +144,4 @@ def attach(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Evidence with its unit's quality, coherence and reliability. units: diagnostics, one row for each unit."""
     names = ["source_quality_weight", "source_coherence_weight", "source_recommended_weight", "source_reliability_weight", "source_outlier_flag", "source_quality_label", "source_reliability_label"]
     bare = rows.drop(*names)
-    return bare.join(F.broadcast(units.select("source_unit_id", *names)), "source_unit_id")
-
-
-def has_listed_sources(rows: DataFrame) -> DataFrame:
-    """Whether any source reports significant rows only, which inflates combined significance."""
-    return rows.agg(F.coalesce(F.bool_or(F.contains(F.lower("table_scope"), F.lit("deg_only"))), F.lit(False)).alias("any_listed_source"))
-
+    return bare.join(units.select("source_unit_id", *names), "source_unit_id")

@@ -74,22 +74,22 @@ def direction_confidence(rows: DataFrame, reference: DataFrame, z: str, name: st
     return both.withColumn(name, (1 + F.col(f"{name}_agreed")) / (2 + F.col(f"{name}_all")))
 
 
-def random_effects(scores: DataFrame, n: int | None = None) -> DataFrame:
+def random_effects(scores: DataFrame) -> DataFrame:
     """scores (stouffer_z, heterogeneity_i2, n_source_units) with the shrunk z, its p and adjusted p."""
     factor = F.sqrt(1 + clipped(F.coalesce("heterogeneity_i2", F.lit(0.0)), 0.0) * F.greatest(F.col("n_source_units") - 1, F.lit(0)))
     held = scores.withColumn("re_stouffer_shrinkage_factor", factor).withColumn("re_stouffer_z", F.coalesce("stouffer_z", F.lit(0.0)) / factor)
     held = held.withColumn("__a", F.abs("re_stouffer_z")).withColumn("re_stouffer_p", F.least(F.lit(1.0), 2 * F.exp(log_sf("__a")))).drop("__a")
-    return bh_adjust(held, "re_stouffer_p", "re_stouffer_padj", n=n)
+    return bh_adjust(held, "re_stouffer_p", "re_stouffer_padj")
 
 
-def rank_aggregation(rows: DataFrame, n_units: int, least: int = 2, n: int | None = None) -> DataFrame:
+def rank_aggregation(rows: DataFrame, n_units: int, least: int = 2) -> DataFrame:
     """Robust rank aggregation: the least log Beta probability of an entity's ordered ranks among n_units lists."""
     grouped = rows.filter("normalized_rank is not null").groupBy("gene_symbol").agg(F.array_sort(F.collect_list(clipped(F.col("normalized_rank"), 0.0))).alias("ranks"))
     kept = grouped.filter(F.size("ranks") >= least_units(least))
     logs = F.transform("ranks", lambda r, k: log_beta_cdf(F.greatest(r, F.lit(TINY)), k + 1, n_units))
     out = kept.select("gene_symbol", F.array_min(F.slice(logs, 1, n_units)).alias("log_rho"))
     out = out.withColumn("rra_rho", clipped(F.exp("log_rho"), 0.0)).withColumn("rra_neglog10_rho", F.greatest(F.lit(0.0), -F.col("log_rho") / F.log(F.lit(10.0))) + 0.0)
-    return global_rank(out, F.col("log_rho"), [F.col("gene_symbol")], "rra_rank", n=n)
+    return global_rank(out, F.col("log_rho"), [F.col("gene_symbol")], "rra_rank")
 
 
 def effect_meta(rows: DataFrame, most_units: int, least: int = 2) -> DataFrame:

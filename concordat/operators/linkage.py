@@ -77,15 +77,24 @@ def source_unit_components(studies: DataFrame, key: str, papers: str) -> DataFra
 
 
 def match_samples(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """columns(column) with the sample(sample, title) that matches: a unique equal key, else a unique prefix either way."""
-    c = columns.withColumn("ck", plain_key(F.col("column")))
-    s = labels.withColumn("sk", plain_key(F.col("title")))
-    one = lambda df: df.filter("ck <> ''").groupBy("column").agg(F.min("sample").alias("sample"), F.count_distinct("sample").alias("n")).filter("n = 1").drop("n")
-    equal = one(c.join(s, F.col("ck") == F.col("sk")))
-    rest = c.join(equal, "column", "left_anti")
+    """columns(column) with the sample of labels(sample, title, source) that it names; null where none or several fit.
+
+    A column that is an accession (in any case) is its own sample. Else its letters and digits must equal those of one
+    sample's accession, title or source (3 or more of them), or, from 4 on, begin like one or the other way round. A label
+    that several samples share names none of them.
+    """
+    texts = [c for c in ("sample", "title", "source") if c in labels.columns]
+    keys = labels.select("sample", F.explode(F.array(*[plain_key(F.col(c)) for c in texts])).alias("sk")).filter(F.length("sk") >= 3).distinct()
+    unique = keys.groupBy("sk").agg(F.min("sample").alias("sample"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    named = columns.select("column").distinct()
+    own = named.join(labels.select("sample").distinct(), F.upper("column") == F.col("sample")).select("column", "sample")
+    rest = named.join(own, "column", "left_anti").withColumn("ck", plain_key(F.col("column")))
+    equal = rest.join(unique, F.col("ck") == F.col("sk")).select("column", "sample")
+    rest = rest.join(equal, "column", "left_anti").filter(F.length("ck") >= 4)
     head = 4  # both keys of a prefix match begin alike, which makes it an equi-join
-    near = rest.join(s.filter("sk <> ''"), (F.substring("ck", 1, head) == F.substring("sk", 1, head)) & (F.col("ck").startswith(F.col("sk")) | F.col("sk").startswith(F.col("ck"))))
-    return columns.join(equal.unionByName(one(near)), "column", "left")
+    near = rest.join(unique.filter(F.length("sk") >= head), (F.substring("ck", 1, head) == F.substring("sk", 1, head)) & (F.col("ck").startswith(F.col("sk")) | F.col("sk").startswith(F.col("ck"))))
+    only = near.groupBy("column").agg(F.min("sample").alias("sample"), F.count_distinct("sample").alias("n")).filter("n = 1").drop("n")
+    return columns.join(own.unionByName(equal).unionByName(only), "column", "left")
 
 
 def accession_owners(records: DataFrame, key: str, accessions: str, order: list[Column]) -> DataFrame:
@@ -94,8 +103,13 @@ def accession_owners(records: DataFrame, key: str, accessions: str, order: list[
     return each.groupBy("accession").agg(F.min_by(key, "__o").alias(key))
 
 
-def candidates(records: DataFrame, column: str = "candidates", keys: tuple[str, ...] = ("provider", "accession", "source_url", "name", "role", "tier")) -> DataFrame:
-    """Candidate structs of all records, merged by their keys: the first non-blank value of each field."""
-    each = records.select(F.posexplode(column).alias("pos", "c")).select("pos", "c.*")
-    fields = [c for c in each.columns if c not in keys and c != "pos"]
-    return each.groupBy(*keys).agg(*[F.min_by(F.when(F.trim(F.col(f).cast("string")) != "", F.col(f)), F.when(F.trim(F.col(f).cast("string")) != "", F.col("pos"))).alias(f) for f in fields])
+def candidates(records: DataFrame, by: str, column: str = "candidates", keys: tuple[str, ...] = ("accession", "provider", "source_url", "name", "role", "record_type")) -> DataFrame:
+    """(by, *keys, other fields) of each group's candidates: those alike by their keys are one, with the first filled value of each field."""
+    fields = [f.name for f in records.schema[column].dataType.elementType.fields]
+    plain = lambda f: F.trim(F.coalesce(F.col(f"c.{f}"), F.lit("")))
+    normal = {f: F.upper(plain(f)) if f == "accession" else plain(f) if f == "source_url" else F.lower(plain(f)) for f in keys}
+    each = records.select(by, F.monotonically_increasing_id().alias("r"), F.posexplode(column).alias("p", "c")).withColumns({f"k_{f}": x for f, x in normal.items()})
+    place = F.struct("r", "p")
+    filled = lambda f: F.min_by(F.when(plain(f) != "", F.col(f"c.{f}")), F.when(plain(f) != "", place))
+    merged = each.groupBy(by, *[f"k_{f}" for f in keys]).agg(*[filled(f).alias(f) for f in fields])
+    return merged.select(by, *[F.col(f"k_{f}").alias(f) if f == "accession" else F.col(f) for f in fields])

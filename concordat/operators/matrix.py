@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -66,12 +66,12 @@ def log_cpm(long: DataFrame) -> DataFrame:
     """log2 of counts per million plus one, by the sample's total over the entities that are there."""
     library = long.groupBy("sample").agg(F.sum("value").alias("library"))  # one row for each sample
     cpm = F.coalesce(F.try_divide(F.col("value"), F.col("library")), F.lit(0.0)) * 1e6
-    return long.join(F.broadcast(library), "sample").select("gene_symbol", "sample", F.log2(cpm + 1).alias("value"))
+    return long.join(library, "sample").select("gene_symbol", "sample", F.log2(cpm + 1).alias("value"))
 
 
 @F.pandas_udf(DoubleType())
 def _welch_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) if a == a and b == b and abs(a) != float("inf") and b > 0 else 1.0 for a, b in zip(t, df)])
+    return pd.Series(t_two_sided(t.to_numpy(), df.to_numpy()))
 
 
 def welch(long: DataFrame, control: Sequence[str], treatment: Sequence[str]) -> DataFrame:
@@ -99,7 +99,3 @@ def derive(matrix: DataFrame, entity: str, control: Sequence[str], treatment: Se
         raise ValueError(f"kind must be counts or normalized, not {kind!r}")
     values = median(long)
     return welch(values if log_scale else values.withColumn("value", F.log2(F.when(F.col("value") > -1, F.col("value") + 1))), control, treatment)
-
-
-def library_sizes(long: DataFrame) -> DataFrame:
-    return long.withColumn("library", F.sum("value").over(Window.partitionBy("sample"))).select("sample", "library").distinct()

@@ -1,8 +1,8 @@
 """Global ranks and false-discovery adjustment without sending all rows to one task.
 
-Up to SMALL counted rows are ordered by one window. Beyond that, rows are cut into ranges of their first ordering value at
-approximate quantiles; each range is ordered by itself and the sizes (or minima) of the ranges before it are added from a
-table with one row a range. Both ways give the same numbers.
+Rows are dealt to ranges of their full order (repartitionByRange samples it), so that ties of the first value are split by
+the later ones. Each range is ordered by itself, and the sizes (or minima) of the ranges before or after it are added from
+a table with one row a range.
 """
 
 from __future__ import annotations
@@ -14,61 +14,46 @@ from pyspark.sql import functions as F
 
 from concordat.store import settled
 
-RANGES = 64
-#: One task orders so many rows of an entity table in memory.
-SMALL = 1_000_000
 
+def _dealt(df: DataFrame, *order: Column) -> DataFrame:
+    """df, written, with __range: ascending in the order, as many ranges as the session has shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
 
-def _ranged(df: DataFrame, value: Column) -> DataFrame:
-    """df with __range, ascending with value; null values come last of all."""
-    cuts = df.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts")).scalar()
-    held = df.withColumn("__value", value).withColumn("__cuts", cuts)
-    return held.withColumn("__range", F.when(F.col("__value").isNull(), RANGES).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__value")))))
 
+def _before(sizes: DataFrame) -> DataFrame:
+    """(__range, __before, __all) of sizes(__range, __n): the rows of the ranges before it, and of all."""
+    ranges = Window.orderBy("__range")
+    before = F.coalesce(F.sum("__n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("__n").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return sizes.select("__range", before.alias("__before"), every.alias("__all"))
 
-def global_rank(df: DataFrame, first: Column, then: Sequence[Column], name: str, descending: bool = False, n: int | None = None) -> DataFrame:
+
+def global_rank(df: DataFrame, first: Column, then: Sequence[Column], name: str, descending: bool = False) -> DataFrame:
     """df with name: 1 for the row that comes first by `first` (ascending unless descending, nulls last), then by `then`.
 
-    first must be a double; then ends with a unique key, which makes the order total. n: the number of rows, if known.
+    then ends with a unique key, which makes the order total.
     """
-    value = -first if descending else first
-    if n is None:
-        df = settled(df)
-        n = df.count()
-    if n <= SMALL:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(value.asc_nulls_last(), *then)))
-    df = settled(df)
-    ranged = _ranged(df, value)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__range", "__before")
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(F.col("__value").asc_nulls_last(), *then))
-    out = ranged.withColumn("__within", within).join(F.broadcast(before), "__range")  # RANGES + 1 rows
-    return out.withColumn(name, (F.col("__before") + F.col("__within")).cast("int")).drop("__range", "__value", "__cuts", "__before", "__within")
-
-
-def bh_adjust(df: DataFrame, p: str, name: str, missing_as_one: bool = False, n: int | None = None) -> DataFrame:
-    """df with name: Benjamini-Hochberg adjusted p; a null p stays null (or counts as 1). n: the number of rows, if known."""
-    value = F.coalesce(F.col(p), F.lit(1.0)) if missing_as_one else F.col(p)
-    df = df.withColumn("__p", value)
-    if n is None:
-        df = settled(df)
-        n = df.count()
-    if n <= SMALL:
-        up = Window.orderBy(F.col("__p").asc_nulls_last())
-        raw = df.withColumn("__raw", F.col("__p") * F.count("__p").over(Window.partitionBy()) / F.row_number().over(up))
-        down = F.min("__raw").over(Window.orderBy(F.col("__p").desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return raw.withColumn(name, F.when(F.col("__p").isNotNull(), F.least(F.lit(1.0), down))).drop("__p", "__raw")
-    df = settled(df)
-    ranged = _ranged(df, F.col("__p"))
-    sizes = ranged.filter("__p is not null").groupBy("__range").agg(F.count("*").alias("__n"))
-    by_range = Window.orderBy("__range")
-    before = sizes.select("__range", F.coalesce(F.sum("__n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col("__p").asc_nulls_last()))
-    raw = ranged.withColumn("__within", rank).join(F.broadcast(before), "__range", "left").withColumn("__raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__within")))
-    raw = settled(raw)
+    order = [(first.desc_nulls_last() if descending else first.asc_nulls_last()), *then]
+    dealt = _dealt(df, *order)
+    before = _before(dealt.groupBy("__range").agg(F.count("*").alias("__n")))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    ranked = dealt.withColumn("__within", within).join(before, "__range")
+    return ranked.withColumn(name, (F.col("__before") + F.col("__within")).cast("int")).drop("__range", "__before", "__all", "__within")
+
+
+def bh_adjust(df: DataFrame, p: str, name: str, missing_as_one: bool = False) -> DataFrame:
+    """df with name: Benjamini-Hochberg adjusted p; a null p stays null (or counts as 1)."""
+    held = df.withColumn("__p", F.coalesce(F.col(p), F.lit(1.0)) if missing_as_one else F.col(p))
+    # Rows of equal p may be split anywhere: the least raw value of the ranges behind reaches all of them.
+    dealt = _dealt(held, F.col("__p").asc_nulls_last(), F.xxhash64(*df.columns))
+    before = _before(dealt.filter("__p is not null").groupBy("__range").agg(F.count("*").alias("__n")))
+    up = Window.partitionBy("__range").orderBy(F.col("__p").asc_nulls_last())
+    ranked = dealt.withColumn("__within", F.row_number().over(up)).join(before, "__range", "left")
+    raw = ranked.withColumn("__raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__within")))
     least = raw.filter("__p is not null").groupBy("__range").agg(F.min("__raw").alias("__least"))
-    after = least.select("__range", F.min("__least").over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    own = F.min("__raw").over(Window.partitionBy("__range").orderBy(F.col("__within").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = raw.withColumn("__own", own).join(F.broadcast(after), "__range", "left")
+    after = settled(least.select("__range", F.min("__least").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after")))
+    down = Window.partitionBy("__range").orderBy(F.col("__within").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = raw.withColumn("__own", F.min("__raw").over(down)).join(after, "__range", "left")
     adjusted = F.when(F.col("__p").isNotNull(), F.least(F.lit(1.0), "__own", F.coalesce("__after", F.lit(1.0))))
-    return out.withColumn(name, adjusted).select(*[c for c in df.columns if c != "__p"], name)
+    return out.withColumn(name, adjusted).select(*df.columns, name)

@@ -117,15 +117,15 @@ def score(harmonized: DataFrame, least: int = 2, ablation: Ablation | None = Non
         "direction_all_units": rounded(F.coalesce("direction_confidence_index_all", F.lit(0.0)), 3),
         "priority_score": rounded(F.col("priority_score")),
     }).drop("direction_confidence_index_agreed", "direction_confidence_index_all")
-    found = lanes.random_effects(found, n)
-    found = found.join(lanes.rank_aggregation(rows, n_units, least, n=rows.count()), "gene_symbol", "left").join(lanes.effect_meta(rows, n_units, least), "gene_symbol", "left")
-    found = global_rank(found, F.col("priority_score"), [F.desc("n_source_units"), F.desc("direction_confidence_index"), F.col("gene_symbol")], "priority_rank", descending=True, n=n)
+    found = lanes.random_effects(found)
+    found = found.join(lanes.rank_aggregation(rows, n_units, least), "gene_symbol", "left").join(lanes.effect_meta(rows, n_units, least), "gene_symbol", "left")
+    found = global_rank(found, F.col("priority_score"), [F.desc("n_source_units"), F.desc("direction_confidence_index"), F.col("gene_symbol")], "priority_rank", descending=True)
     found = settled(found)
     loo = stability(folds(rows, units, least), found, n_units, n)
     found = found.join(loo, "gene_symbol", "left")
     found = found.withColumn("evidence_reliability_score", rounded(reliability_score())).withColumns({c: rounded(F.col(c)) for c in ("composite_score", "quality_score", "quality_sign_concordance")})
-    found = global_rank(found, F.col("composite_score"), [F.desc("n_source_units"), F.desc("sign_concordance"), F.col("gene_symbol")], "composite_rank", descending=True, n=n)
-    found = global_rank(found, F.col("quality_score"), [F.desc("n_source_units"), F.desc("quality_sign_concordance"), F.col("gene_symbol")], "quality_rank", descending=True, n=n)
+    found = global_rank(found, F.col("composite_score"), [F.desc("n_source_units"), F.desc("sign_concordance"), F.col("gene_symbol")], "composite_rank", descending=True)
+    found = global_rank(found, F.col("quality_score"), [F.desc("n_source_units"), F.desc("quality_sign_concordance"), F.col("gene_symbol")], "quality_rank", descending=True)
     return Scored(labelled(found, n, n_units), rows, units, n_units)
 
 

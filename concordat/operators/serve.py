@@ -92,8 +92,9 @@ def label_counts(rows: DataFrame, column: str, unknown: str = "unknown") -> Data
 
 
 def study_table(harmonized: DataFrame, columns: tuple[str, ...] = ("source_unit_id", "table_scope", "pipeline", "source_input_type")) -> DataFrame:
-    """One row for each study, by the least of each value."""
-    return harmonized.groupBy("study_id").agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("n_rows"))
+    """One row for each study: the values of its least row, so that they belong together, and how many rows it has."""
+    least = harmonized.groupBy("study_id").agg(F.min(F.struct(*columns)).alias("x"), F.count("*").alias("n_rows"))
+    return least.select("study_id", "x.*", "n_rows")
 
 
 def capped_evidence(evidence: DataFrame, scores: DataFrame, cap: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Leave-one-source-out stability of the priority ranking.
 
 An entity's fold statistics change only in the folds of its own units, so they are computed there from its array of units
-(bounded by the number of units); in all other folds its full statistics stand. Each fold ranks its entities by itself.
+(bounded by the number of units); in all other folds its full statistics stand. Ranks are wanted for every entity in every
+fold, so there is a row for each; ranges of the score are ordered by themselves, and the sizes of the ranges above are
+added, so that no task orders a fold.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from concordat.functions.special import rounded
 from concordat.operators.consensus import TINY, concordant_share, least_units, strength
 from concordat.operators.evidence import clipped
 from concordat.operators.lanes import PRIORITY, from_effect, from_z, geometric
+from concordat.store import settled
+
+#: Ranges of the priority score (0 to 100) for each point.
+RANGES_PER_POINT = 20
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -54,8 +60,12 @@ def folds(rows: DataFrame, units: DataFrame, least: int = 2) -> DataFrame:
     names = units.agg(F.array_sort(F.collect_set("source_unit_id")).alias("folds")).scalar()
     rest = full.withColumn("fold", F.explode(F.array_except(names, "own"))).drop("own")
     scored = priority(own).select("gene_symbol", "n_source_units", "priority_score", "direction_confidence_index", "fold").unionByName(rest).filter(F.col("n_source_units") >= least)
-    order = Window.partitionBy("fold").orderBy(F.desc("priority_score"), F.desc("n_source_units"), F.desc("direction_confidence_index"), "gene_symbol")
-    return scored.withColumn("fold_rank", F.row_number().over(order)).select("fold", "gene_symbol", "fold_rank")
+    scored = settled(scored.withColumn("range", F.floor(F.col("priority_score") * RANGES_PER_POINT)))
+    above = Window.partitionBy("fold").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scored.groupBy("fold", "range").agg(F.count("*").alias("n")).select("fold", "range", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    order = Window.partitionBy("fold", "range").orderBy(F.desc("priority_score"), F.desc("n_source_units"), F.desc("direction_confidence_index"), "gene_symbol")
+    placed = scored.withColumn("within", F.row_number().over(order)).join(ranges, ["fold", "range"])
+    return placed.select("fold", "gene_symbol", (F.col("above") + F.col("within")).cast("int").alias("fold_rank"))
 
 
 def stability(ranks: DataFrame, scores: DataFrame, n_units: int, n_entities: int) -> DataFrame:

@@ -139,15 +139,6 @@ def shared_title_flag(spark, sf):
     return linkage.shared_submissions(rows).select("o_orderkey", "shared_submission")
 
 
-_NAMES = ("'p' || p_partkey || (['_deseq2_results.csv', '_raw_counts.txt.gz', '_RAW.tar', '_tpm.tsv', '_processed.xlsx', '.bam', '_notes.pdf', '_table.csv'])[p_partkey % 8 + 1]", "concat('p', p_partkey, element_at(array('_deseq2_results.csv', '_raw_counts.txt.gz', '_RAW.tar', '_tpm.tsv', '_processed.xlsx', '.bam', '_notes.pdf', '_table.csv'), cast(p_partkey % 8 + 1 as int)))")
-
-
-@query(f"select p_partkey, (['strong', 'upstream', 'reject', 'upstream', 'weak', 'reject', 'unsupported', 'weak'])[p_partkey % 8 + 1] as tier, (['deg_table', 'count_matrix', 'unsupported', 'normalized_expression_matrix', 'unknown_table', 'unsupported', 'unsupported', 'unknown_table'])[p_partkey % 8 + 1] as role, p_partkey % 8 in (0, 1, 3, 4, 7) as inspectable from part")
-def filename_classes(spark, sf):
-    name = F.concat(F.lit("https://example.org/a/"), F.expr(_NAMES[1]), F.lit("?x=1"))
-    return table(spark, sf, "part").select("p_partkey", classify.filename_class(name).alias("c")).select("p_partkey", "c.*")
-
-
 @query("select p_partkey, case p_partkey % 6 when 0 then 'MARCHF' || (p_partkey % 11 + 1) when 1 then 'SEPTIN' || (p_partkey % 9 + 1) when 2 then 'BHLHE40' when 3 then 'SEPTIN7' when 4 then 'GENE' || p_partkey else null end as symbol from part")
 def gene_clean(spark, sf):
     part = table(spark, sf, "part")
@@ -162,17 +153,10 @@ def identifier_unpivot(spark, sf):
     return classify.identifiers(rows, "k", ("o_orderpriority", "o_orderstatus"))
 
 
-@query("select record_id, rank from (select p_partkey as record_id, row_number() over (order by p_size % 5, p_size, year desc nulls last, p_partkey) as rank from (select *, case when p_size % 3 > 0 then 2000 + p_size end as year from part)) where rank <= 100")
+@query("select p_partkey as record_id, row_number() over (order by p_size % 5, p_size, year desc nulls last, p_partkey)::int as rank from (select *, case when p_size % 3 > 0 then 2000 + p_size end as year from part)")
 def publication_rank(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), (F.col("p_size") % 5).alias("priority"), F.col("p_size").alias("relevance_rank"), F.when(F.col("p_size") % 3 > 0, 2000 + F.col("p_size")).alias("year"), F.col("p_name").alias("title"))
-    first = classify.publication_rank(rows).limit(100)
-    return first.select("record_id", F.row_number().over(_order()).cast("bigint").alias("rank"))
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("priority", "relevance_rank", F.col("year").desc_nulls_last(), "record_id")
+    return classify.publication_rank(rows).select("record_id", "rank")
 
 
 @query("select event_id, round_even(adj * 1e9, 0) / 1e9 as adjusted from (select event_id, least(1.0, min(p * n_all / rn) over (order by rn desc rows between unbounded preceding and current row)) as adj from (select *, row_number() over (order by p, event_id) as rn, count(*) over () as n_all from (select event_id, coalesce(case when event_id % 10 > 0 then (event_id % 997) / 997.0e0 end, 1.0e0) as p from events)))")

@@ -51,10 +51,22 @@ CTES = {
   select * exclude (k) from (select *, count(*) over (partition by study_id, gene_symbol) as n_source_rows,
     row_number() over (partition by study_id, gene_symbol order by pvalue, abs(lfc) desc, padj asc nulls last, lfc, l_suppkey, l_orderkey, l_linenumber) as k from valid) where k = 1""",
     "zed": f"select *, case when lfc <> 0 and pvalue < 1 then sign(lfc) * {isf_sql('q')} end as signed_z from (select *, greatest(pvalue, 1e-300) / 2 as q from best)",
+    "scope": """
+  select *, case assessment when 'declared' then declared when 'full_results_likely' then 'full_results' when 'deg_only_likely' then 'deg_only' else 'ambiguous' end as effective from (
+    select *, case when declared <> 'auto' then 'declared' when n_values = 0 then 'auto_ambiguous'
+      when n_rows >= 10000 and above >= 100 and most >= 0.5 or above >= greatest(100, floor(0.1 * n_rows)) and most >= 0.2 then 'full_results_likely'
+      when below / n_values >= 0.98 and most <= 0.05 or n_rows < 5000 and below / n_values >= 0.95 and most <= 0.1 then 'deg_only_likely'
+      else 'auto_ambiguous' end as assessment
+    from (select study_id, any_value(table_scope) as declared, any_value(c) as value_column, count(*) as n_rows, count(v) as n_values,
+        count(*) filter (v <= 0.05) as below, count(*) filter (v > 0.05) as above, max(v) as most, max(declared_universe) as declared_universe
+      from (select *, case when c = 'padj' then padj else pvalue end as v from (
+        select *, case when count(padj) over (partition by study_id) > 0 then 'padj' else 'pvalue' end as c from bridge)) group by 1))""",
     "harm": """
-  select *, case when signed_z is not null then average / universe end as normalized_rank from (
-    select *, rank() over (partition by study_id order by abs(signed_z) desc nulls last) + (count(*) over (partition by study_id, abs(signed_z)) - 1) / 2e0 as average,
-      greatest(coalesce(declared_universe, 0), count(*) over (partition by study_id)) as universe, count(*) over (partition by study_id) as n_genes from zed)""",
+  select *, case when signed_z is not null then average / universe end as normalized_rank, universe as n_genes from (
+    select z.* replace (effective as table_scope), assessment, value_column, n_rows as n_source_table_rows, below,
+      rank() over (partition by z.study_id order by abs(signed_z) desc nulls last) + (count(*) over (partition by z.study_id, abs(signed_z)) - 1) / 2e0 as average,
+      count(*) over (partition by z.study_id) as observed, greatest(coalesce(z.declared_universe, 0), count(*) over (partition by z.study_id)) as universe
+    from zed z join scope s on z.study_id = s.study_id)""",
     "elig": """
   select * from (select *, least(case when n_ctrl + n_treat > 0 then sqrt(n_ctrl + n_treat) else 1 end, 4e0) as w,
       min(hours) over g as first_h, max(hours) over g as last_h, count(*) over g as n_mode,

@@ -42,7 +42,9 @@ def respond(results: Results, path: str, query: dict[str, str], redact: bool = F
         if path == "/api/meta":
             return 200, {"columns": scores().columns, "sorts": list(serve.SORTS)}
         if path == "/api/studies":
-            return 200, rows(serve.study_table(results.table("harmonized")).orderBy("study_id").limit(serve.MOST_ROWS), redact)
+            studies = serve.study_table(results.table("harmonized"))
+            limit, offset = serve.bounded(query.get("limit"), "limit", serve.DEFAULT_ROWS, 1), serve.bounded(query.get("offset"), "offset", 0, 0, 10_000_000)
+            return 200, {"total": studies.count(), "items": rows(studies.orderBy("study_id").offset(offset).limit(limit), redact)}
         if path == "/api/genes":
             filters = {"q": query.get("q", ""), "direction": query.get("direction", ""), "min_units": query.get("min_units") or None, "min_score": number("min_score")}
             page = serve.entity_page(scores(), query.get("sort", "quality_rank"), query.get("order") == "desc", query.get("limit"), query.get("offset"), **filters)

@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark.sql import SparkSession
+
 NEXT = {"queued": ("running", "failed", "interrupted"), "running": ("completed", "failed", "interrupted")}
 
 
@@ -45,16 +47,23 @@ class JobStore:
 
 
 class JobManager:
-    """Runs jobs on a few threads; each sets a Spark job group of its own, so that it can be cancelled."""
+    """Runs jobs on a few threads; with a session, each sets a Spark job group of its own, so that it can be cancelled."""
+
+    def __init__(self, store: JobStore, workers: int = 2, spark: SparkSession | None = None) -> None:
+        self.store, self.pool, self.spark = store, ThreadPoolExecutor(workers), spark
 
-    def __init__(self, store: JobStore, workers: int = 2) -> None:
-        self.store, self.pool = store, ThreadPoolExecutor(workers)
+    def cancel(self, key: str) -> None:
+        """Stops the Spark jobs of a running job, which then fails."""
+        if self.spark:
+            self.spark.sparkContext.cancelJobGroup(key)
 
     def submit(self, kind: str, payload: object, work: Callable[[object, Callable[[float, str], None]], object]) -> tuple[str, Future]:
         key = self.store.create(kind, payload)
 
         def go() -> None:
             self.store.update(key, "running")
+            if self.spark:
+                self.spark.sparkContext.setJobGroup(key, kind, interruptOnCancel=True)
             try:
                 done = work(payload, lambda progress, message="": self.store.update(key, progress=progress, message=message))
             except Exception as problem:  # the job's failure is its result

@@ -22,6 +22,8 @@ ALIASES = {
     "probe_collapse_rule": "probe_collapse", "time_mode": "time_course_mode", "temporal_aggregation": "time_course_mode",
     "include": "include_in_analysis",
 }
+#: Lines that may be comments; a study below them may begin with #.
+COMMENTS = 20
 TRUE = ("1", "true", "t", "yes", "y", "include", "included")
 FALSE = ("0", "false", "f", "no", "n", "exclude", "excluded")
 MODES = ("", "auto", "all", "mean", "source_mean", "average", "first", "earliest", "early", "last", "latest", "late", "peak", "peak_mean", "strongest_window")
@@ -111,8 +113,9 @@ def read_catalog(path: str) -> list[dict[str, str]]:
         table = sheets.get("Contrasts") or (next(iter(sheets.values())) if len(sheets) == 1 else None)
         if table is None:
             raise ValueError(f"{path} has no sheet named Contrasts")
-        table = [r for r in table if any(r) and not str(r[0] or "").startswith("#")]
+        table = [r for k, r in enumerate(table) if any(r) and not (k < COMMENTS and str(r[0] or "").startswith("#"))]
         head = [str(c or "") for c in table[0]]
         return normalized([{h: "" if v is None else str(v) for h, v in zip(head, r)} for r in table[1:]])
     with open(path, newline="", encoding="utf-8-sig") as file:
-        return normalized(list(csv.DictReader(line for line in file if line.strip() and not line.startswith("#"))))
+        lines = (line for k, line in enumerate(file) if line.strip() and not (k < COMMENTS and line.startswith("#")))
+        return normalized(list(csv.DictReader(lines)))

@@ -30,11 +30,6 @@ def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet
         getattr(flat.write.mode("overwrite").option("header", True) if form == "csv" else flat.write.mode("overwrite"), form)(f"{folder}/{name}")
 
 
-def write_ranked(scores: DataFrame, folder: str, files: int = 16) -> None:
-    """The score table in order of rank, so that a page reads a few row groups by their statistics."""
-    scores.repartitionByRange(files, "quality_rank").sortWithinPartitions("quality_rank").write.mode("overwrite").parquet(folder)
-
-
 def write_sqlite(tables: dict[str, DataFrame], path: str, indexes: dict[str, Iterable[str]] | None = None) -> None:
     """A serving database: rows stream through the driver into a temporary file that replaces the old one whole."""
     folder = os.path.dirname(os.path.abspath(path))

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from concordat.operators.inspection import linked_files
+from concordat.sources.ooxml import read_sheets
 
 # Words for delimiters.
 SEPARATORS = {"tab": "\t", "tabs": "\t", "\\t": "\t", "t": "\t", "tsv": "\t", "comma": ",", "csv": ",", "semicolon": ";", "semi": ";", "pipe": "|", "bar": "|", "space": " ", "whitespace": r"\s+", "ws": r"\s+"}
 
+#: Columns of harmonised rows that aren't text.
+HARMONIZED = {
+    **dict.fromkeys(("lfc", "pvalue", "padj", "signed_z", "abs_signed_z", "within_study_rank", "normalized_rank", "n_ctrl", "n_treat", "rank_universe_size_declared"), "double"),
+    **dict.fromkeys(("n_genes_in_study", "n_source_rows_for_gene", "rank_universe_size_used"), "int"),
+    **dict.fromkeys(("n_rows_in_source_table", "n_reported_rows_after_filter", "n_scope_significant_rows_le_0_05"), "bigint"),
+    "pvalue_was_clipped": "boolean",
+}
+
 
 def separator(value: str | None, path: str = "") -> str:
     """The delimiter that a word, a character or else the file's suffix stands for."""
@@ -29,21 +43,51 @@ def restored_labels(columns: list[str]) -> list[str]:
     return out
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """A delimited table (plain or gzip) as text columns. Refuses a table whose one column shows another delimiter."""
+def _first_lines(spark: SparkSession, path: str, mark: str) -> list[list[str]]:
+    """The cells of a table's header and of its first row."""
+    lines = [r.value for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect()]
+    return list(csv.reader([x.lstrip("\ufeff") for x in lines], delimiter=mark))
+
+
+def read_table(spark: SparkSession, path: str, sep: str | None = None, sheet: str | int | None = None) -> DataFrame:
+    """A delimited table (plain or gzip) or a workbook's sheet as text columns.
+
+    A header one field short of its rows lacks the name of row labels, which come first. A table whose one column shows
+    another delimiter is refused.
+    """
+    if path.lower().endswith(".xlsx"):
+        return read_sheet(spark, path, sheet)
     mark = separator(sep, path)
     if mark == r"\s+":
         lines = spark.read.text(path).filter(F.trim("value") != "")
         names = F.split(F.trim("value"), r"\s+")
-        head = lines.select(names.alias("n")).first()["n"]
-        body = lines.select(names.alias("n")).filter(F.col("n") != F.array(*map(F.lit, head)))
-        return body.select(*[F.get("n", F.lit(k)).alias(c) for k, c in enumerate(restored_labels(head))])
-    table = spark.read.csv(path, sep=mark, header=True, inferSchema=False, comment="#")
-    if len(table.columns) == 1:
+        head, first = (lines.select(names.alias("n"), F.size(names).alias("k")).limit(2).collect() + [None])[:2]
+        body = lines.select(names.alias("n")).filter(F.col("n") != F.array(*map(F.lit, head.n)))
+        columns = restored_labels([""] * (first is not None and first.k == head.k + 1) + head.n)
+        return body.select(*[F.get("n", F.lit(k)).alias(c) for k, c in enumerate(columns)])
+    head, *rest = _first_lines(spark, path, mark)
+    if len(head) == 1:
         for other in "\t,;|":
-            if other != mark and len(table.columns[0].split(other)) >= 3:
+            if other != mark and len([x for x in head[0].split(other) if x.strip()]) >= 3:
                 raise ValueError(f"{path} has one column by {mark!r}, but its header splits by {other!r}")
-    return table.toDF(*restored_labels(table.columns))
+    short = bool(rest) and len(rest[0]) == len(head) + 1
+    columns = restored_labels([""] * short + head)
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    return spark.read.schema(schema).csv(path, sep=mark, header=True)  # by position; the header line is passed over
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
+    """A workbook's sheet (the first one by default) as text columns; workbooks are small and read on the driver."""
+    sheets = read_sheets(path)
+    names = list(sheets)
+    chosen = names[int(sheet)] if sheet is not None and str(sheet).isdigit() and str(sheet) not in names else (sheet or names[0])
+    if chosen not in sheets:
+        raise KeyError(f"{path} has no sheet {sheet!r}; its sheets are {names}")
+    rows = [r for r in sheets[chosen] if any(v not in (None, "") for v in r)]
+    columns = restored_labels(["" if v is None else str(v) for v in rows[0]])
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    cells = [tuple(None if k >= len(r) or r[k] is None else str(r[k]) for k in range(len(columns))) for r in rows[1:]]
+    return spark.createDataFrame(cells, schema)
 
 
 def resolved(table: DataFrame, column: str) -> str:
@@ -54,8 +98,10 @@ def resolved(table: DataFrame, column: str) -> str:
 
 
 def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str | None = None) -> DataFrame:
-    """A table whose header stands on the given line (from 1): earlier lines are dropped by their place in the file."""
+    """One file's table whose header stands on the given line (from 1): earlier lines are dropped by their place in the file."""
     mark = separator(sep, path)
+    if len(spark.read.text(path).inputFiles()) > 1:
+        raise ValueError(f"{path} is several files: lines are counted in one")
     lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("at"))
     numbered = lines.filter(F.col("at") >= header_row - 1)  # the first file part counts from 0
     head = numbered.orderBy("at").first()["value"].split(mark)
@@ -64,7 +110,11 @@ def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str
 
 
 def read_harmonized(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.rstrip("/").endswith((".parquet", ".pq")) else spark.read.csv(path, header=True, inferSchema=True)
+    """Harmonised rows: Parquet, or CSV whose number columns are read as such and all else as text."""
+    if path.rstrip("/").endswith((".parquet", ".pq")):
+        return spark.read.parquet(path)
+    rows = spark.read.csv(path, header=True, inferSchema=False)
+    return rows.withColumns({c: F.col(c).try_cast(kind) for c, kind in HARMONIZED.items() if c in rows.columns})
 
 
 def soft_series(lines: DataFrame) -> DataFrame:
@@ -94,6 +144,38 @@ def matrix_rows(lines: DataFrame) -> DataFrame:
 
 
 def links(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """(name, url) pairs anywhere in JSON texts, each url once."""
-    urls = F.regexp_extract_all(F.col(column), F.lit(r'"(?:url|href|link)"\s*:\s*"([^"]+)"'), F.lit(1))
-    return payloads.select(F.explode(urls).alias("url")).distinct()
+    """(name, url) of every object anywhere in JSON texts that has an address, each address once."""
+    found = F.pandas_udf(linked_files, "array<struct<name:string,url:string>>")
+    each = payloads.select(F.explode(found(column)).alias("x")).select("x.*")
+    return each.groupBy("url").agg(F.min("name").alias("name")).select("name", "url")
+
+
+def soft_summary(lines: DataFrame) -> DataFrame:
+    """One row of a series record's (value, line): title, summary, design, supplementary_files, pubmed_ids, taxa."""
+    parts = F.split("value", "=", 2)
+    pairs = lines.filter(F.contains("value", F.lit("="))).select(F.trim(F.get(parts, F.lit(0))).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("v"), "line")
+    listed = lambda key: F.transform(F.array_sort(F.collect_list(F.when(F.col("key") == key, F.struct("line", "v")))), lambda x: x["v"])
+    return pairs.agg(
+        F.coalesce(F.max_by(F.when(F.col("key") == "!Series_title", F.col("v")), F.when(F.col("key") == "!Series_title", F.col("line"))), F.lit("")).alias("title"),
+        F.array_join(listed("!Series_summary"), " ").alias("summary"),
+        F.array_join(listed("!Series_overall_design"), " ").alias("design"),
+        F.array_distinct(listed("!Series_supplementary_file")).alias("supplementary_files"),
+        F.array_distinct(listed("!Series_pubmed_id")).alias("pubmed_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("key").endswith("_organism_ch1") & (F.col("v") != ""), F.col("v")))).alias("taxa"),
+    )
+
+
+def settings(rows: list[list]) -> dict[str, str]:
+    """Key and value rows of a settings sheet; blank keys, comments and a heading are passed over."""
+    out: dict[str, str] = {}
+    for row in rows:
+        key = "" if not row or row[0] is None else str(row[0]).strip()
+        if key and not key.startswith("#") and key.lower() not in ("key", "setting", "field"):
+            out[key] = "" if len(row) < 2 or row[1] is None else str(row[1]).strip()
+    return out
+
+
+def read_settings(path: str, sheets: tuple[str, ...] = ("Project", "AdvancedSettings")) -> dict[str, str]:
+    """The settings of a workbook's sheets; later sheets win."""
+    found = read_sheets(path)
+    return {k: v for name in sheets if name in found for k, v in settings(found[name]).items()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,10 +31,23 @@ def merged_units(parts: DataFrame) -> DataFrame:
 
 
 def ingest(rows: DataFrame, folder: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
-    """Starts a query that adds each micro-batch of whole studies to folder/parts, once each even after a restart."""
+    """Starts a query that adds each micro-batch of whole studies to folder/parts, once each even after a restart.
+
+    A study must come in one micro-batch, since its ranks need all of its rows: one that comes again stops the query.
+    """
 
     def add(batch: DataFrame, epoch: int) -> None:
-        partial_units(harmonize(prepare(batch))).write.mode("overwrite").parquet(f"{folder}/parts/epoch={epoch}")
+        spark, rows = batch.sparkSession, prepare(batch)
+        new = rows.select("study_id").distinct()
+        try:
+            before = spark.read.parquet(f"{folder}/studies").filter(F.col("epoch") < epoch)
+        except AnalysisException:  # the first batch
+            before = None
+        again = [] if before is None else [r.study_id for r in new.join(before, "study_id").select("study_id").limit(5).collect()]
+        if again:
+            raise ValueError(f"studies {again} came in an earlier micro-batch: send a study whole")
+        partial_units(harmonize(rows)).write.mode("overwrite").parquet(f"{folder}/parts/epoch={epoch}")
+        new.write.mode("overwrite").parquet(f"{folder}/studies/epoch={epoch}")
 
     return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(add).start()
 

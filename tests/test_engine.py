@@ -2,10 +2,12 @@ import gzip
 import math
 import random
 
+import numpy as np
 import pytest
 from concordat import cli, run
 from concordat.functions import text as tx
-from concordat.operators import classify, linkage, matrix, ranking, serve
+from concordat.functions import special
+from concordat.operators import classify, inspection, linkage, matrix, ranking, records, serve
 from concordat.operators import harmonize as hz
 from concordat.operators.units import collapse
 from concordat.sources import catalog, ooxml, sinks, tables
@@ -56,6 +58,21 @@ def test_duplicates_and_universe(spark):
     assert small.rank_universe_size_used == 2 and "below" in small.rank_universe_warning
 
 
+def test_effective_scope_and_collapse_notes(spark):
+    """The scope that leaves is the effective one; the universe is n_genes_in_study; duplicates are told of."""
+    rows = results(spark, [(f"G{k}", 0.1, 0.001 if k < 20 else 0.8, 0.01 if k < 20 else 1.0) for k in range(200)]).withColumn("table_scope", F.lit("auto")).withColumn("declared_universe", F.lit(20000.0))
+    one = hz.harmonize(rows).first()
+    assert (one.table_scope, one.table_scope_assessment, one.n_genes_in_study, one.n_rows_in_source_table) == ("full_results", "full_results_likely", 20000, 200)
+    assert (one.gene_symbol_collapse_rule, one.gene_symbol_collapse_warning, one.n_scope_significant_rows_le_0_05) == ("none", "", 20)
+    twice = results(spark, [("GENEX", 2.5, 1e-5, 1e-3), ("GENEX", -3.0, 1e-4, 1e-3), ("RPL13A", 0.1, 0.9, 0.9)])
+    note = lambda asked, assay: hz.harmonize(twice.withColumn("probe_collapse", F.lit(asked)).withColumn("assay_type", F.lit(assay))).first()
+    assert note("nan", "RNA-seq").gene_symbol_collapse_warning == "" and note("nan", "RNA-seq").requested_probe_collapse == ""
+    assert "duplicate gene symbols were collapsed" in note(None, "microarray").gene_symbol_collapse_warning
+    assert "median_expression" in note("median_expression", "microarray").gene_symbol_collapse_warning and note("best-probe", "microarray").gene_symbol_collapse_warning == ""
+    stacked = results(spark, [(g, 1.0, 0.01, 0.1) for g in "AAABC"])
+    assert "5 rows" in hz.harmonize(stacked).first().gene_symbol_collapse_warning
+
+
 def test_scope(spark):
     full = results(spark, [(f"G{k}", 1.0, 0.01 if k < 20 else 0.2 + k / 300, None) for k in range(200)])
     listed = results(spark, [(f"G{k}", 1.0, 0.001, 0.01) for k in range(50)])
@@ -69,9 +86,7 @@ def test_bh(spark):
     assert [r.a for r in ranking.bh_adjust(frame, "p", "a").orderBy("k").collect()] == pytest.approx([0.03, 0.04, 0.04, None], nan_ok=True)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_both_ways_of_ranking_agree(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "SMALL", limit)
+def test_ranks_in_ranges(spark):
     random.seed(4)
     values = [(k, random.choice([None, *[x / 50 for x in range(51)]])) for k in range(700)]
     frame = spark.createDataFrame(values, "k int, p double")
@@ -103,7 +118,26 @@ def test_matrix_lane(spark):
 def test_welch_p_value(spark):
     long = spark.createDataFrame([("A", s, v) for s, v in zip(("c1", "c2", "c3", "t1", "t2", "t3"), (1.0, 2.0, 3.0, 4.0, 6.0, 8.0))], "gene_symbol string, sample string, value double")
     got = matrix.welch(long, ["c1", "c2", "c3"], ["t1", "t2", "t3"]).first()
-    assert got.t == pytest.approx(4 / math.sqrt(1 / 3 + 4 / 3)) and got.df == pytest.approx(2.941176470588235) and got.pvalue == pytest.approx(0.0546, abs=2e-3)
+    assert got.t == pytest.approx(4 / math.sqrt(1 / 3 + 4 / 3)) and got.df == pytest.approx(2.941176470588235)
+    assert got.pvalue == pytest.approx(0.05460160, abs=2e-3)
+
+
+def test_t_tail_for_whole_degrees_of_freedom():
+    """Against the closed forms for whole degrees of freedom."""
+    def closed(t, df):
+        theta = math.atan(abs(t) / math.sqrt(df))
+        c, total = math.cos(theta), 0.0
+        term = c if df % 2 else 1.0
+        for k in range(1, (df - 1) // 2 + 1 if df % 2 else df // 2 + 1):
+            total += term
+            term *= c * c * (2 * k / (2 * k + 1) if df % 2 else (2 * k - 1) / (2 * k))
+        return 1 - (2 / math.pi * (theta + math.sin(theta) * total) if df % 2 else math.sin(theta) * total)
+
+    cases = [(t, df) for t in (0.01, 0.3, 1.0, 2.5, 6.0, -3.0) for df in (1, 2, 3, 4, 7, 10, 31, 60, 200)]
+    got = special.t_two_sided(np.array([t for t, _ in cases]), np.array([float(d) for _, d in cases]))
+    for (t, df), p in zip(cases, got):
+        assert p == pytest.approx(closed(t, df), abs=1e-12, rel=1e-9)
+    assert list(special.t_two_sided(np.array([0.0, math.nan, math.inf, 1.0]), np.array([3.0, 3.0, 3.0, 0.0]))) == [1.0] * 4
 
 
 def test_linkage(spark):
@@ -121,15 +155,22 @@ def test_linkage(spark):
 
 
 def test_sample_matching(spark):
-    columns = spark.createDataFrame([("ctrl_1",), ("Treated rep2 counts",), ("other",)], "column string")
-    labels = spark.createDataFrame([("G1", "Ctrl 1"), ("G2", "treated rep2"), ("G3", "control 9"), ("G4", "control 9")], "sample string, title string")
-    assert {r.column: r.sample for r in linkage.match_samples(columns, labels).collect()} == {"ctrl_1": "G1", "Treated rep2 counts": "G2", "other": None}
+    columns = spark.createDataFrame([("ctrl_1",), ("Treated rep2 counts",), ("other",), ("gsm9",), ("A1",), ("control 9",), ("liver",)], "column string")
+    labels = spark.createDataFrame([("G1", "Ctrl 1", "x"), ("G2", "treated rep2", "x"), ("G3", "control 9", "x"), ("G4", "control 9", "Liver"), ("GSM9", "A1", "x")], "sample string, title string, source string")
+    want = {"ctrl_1": "G1", "Treated rep2 counts": "G2", "other": None, "gsm9": "GSM9", "A1": None, "control 9": None, "liver": "G4"}
+    assert {r.column: r.sample for r in linkage.match_samples(columns, labels).collect()} == want
+
+
+def test_sample_names(spark):
+    names = {"control": True, "wt": True, "KO_2": True, "GSM123": True, "gene": False, "start": False, "padj": False, "S1": True, "liver": False, "donor-7": True, "baseMean": False, " ": False}
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.s for r in frame.select("n", classify.looks_like_sample(F.col("n")).alias("s")).collect()} == names
 
 
 def test_classifiers(spark):
     names = {"https://x.org/a/GSE1_DESeq2.csv.gz?b=1": ("strong", "deg_table", True), "raw_counts.txt": ("upstream", "count_matrix", True), "x_tpm.tsv": ("upstream", "normalized_expression_matrix", True), "GSE1_RAW.tar": ("reject", "unsupported", False), "a.xlsx": ("weak", "unknown_table", True), "a.pdf": ("unsupported", "unsupported", False)}
     got = {r.v: tuple(r.c) for r in spark.createDataFrame([(n,) for n in names], "v string").select("v", classify.filename_class(F.col("v")).alias("c")).collect()}
-    assert got == names
+    assert {v: c[:3] for v, c in got.items()} == names and all(c[3] for c in got.values())
     heads = [(["gene_id", "symbol", "log2FoldChange", "pvalue", "padj"],), (["gene", "foldchange", "p.value"],), (["gene", "logFC", "FDR"],), (["a", "b"],), (["gene", "logFC_a", "logFC_b", "pval"],)]
     got = [r.c for r in spark.createDataFrame(heads, "h array<string>").select(classify.header_class(F.col("h")).alias("c")).collect()]
     assert [c.status for c in got] == ["candidate_header", "requires_lfc_confirmation", "requires_pvalue_mapping", "not_deg_table", "requires_column_mapping"]
@@ -139,7 +180,7 @@ def test_classifiers(spark):
     cases = [((["Human"], True, None, None, None), "target_species_verified"), ((["Human"], None, None, None, None), "target_species_likely"), ((["Human", "Mouse"], None, None, None, None), "mixed_quarantined"), ((["Human", "Mouse"], True, None, None, "file"), "mixed_rescued"), ((["Human", "Mouse"], True, None, None, "n/a"), "mixed_quarantined"), ((["Mouse"], None, None, None, None), "non_target"), (([], None, None, None, None), "unknown"), ((["Human"], True, None, True, "x"), "mixed_quarantined")]
     decided = spark.createDataFrame([c for c, _ in cases], flags).select(classify.species_decision(F.col("labels"), "Human", F.col("v"), F.col("q"), F.col("b"), F.col("e")).alias("d"))
     assert [r.d for r in decided.collect()] == [d for _, d in cases]
-    tiers = decided.select("d", classify.readiness(F.col("d"), F.lit(True), F.lit(False)).alias("t")).collect()
+    tiers = decided.select("d", records.readiness(F.col("d"), F.lit(True), F.lit(False)).alias("t")).collect()
     assert [r.t.tier for r in tiers][:4] == ["verified_ready", "likely_ready", "mixed_quarantined", "verified_ready"]
     row = spark.createDataFrame([(" https://doi.org/10.1093/NAR/gkaa000. ", "PMID: 12", "pmc77", "in 2019-05")], "d string, p string, c string, y string")
     assert tuple(row.select(tx.doi(F.col("d")), tx.pmid(F.col("p")), tx.pmcid(F.col("c")), tx.year(F.col("y"))).first()) == ("10.1093/nar/gkaa000", "12", "PMC77", 2019)
@@ -164,6 +205,14 @@ def test_delimited_tables(spark, tmp_path):
         file.write("gene\tlfc\nA\t1\n")
     (tmp_path / "c.txt").write_text("gene lfc  p\nA 1   0.1\n")
     (tmp_path / "d.csv").write_text("gene;lfc;p\nA;1;0.1\n")
+    (tmp_path / "r.csv").write_text("log2FC,p\nVEGFA,1.5,0.01\n#B,2.0,0.02\n")
+    r = tables.read_table(spark, str(tmp_path / "r.csv"))
+    assert [tuple(x) for x in r.collect()] == [("VEGFA", "1.5", "0.01"), ("#B", "2.0", "0.02")] and r.columns == ["row_name", "log2FC", "p"]
+    ooxml.write_sheets(str(tmp_path / "x.xlsx"), {"Notes": (["n"], []), "DEG": (["gene", "lfc"], [["A", 1.5], [None, None], ["B", 2]])})
+    assert [tuple(x) for x in tables.read_table(spark, str(tmp_path / "x.xlsx"), sheet="DEG").collect()] == [("A", "1.5"), ("B", "2")]
+    assert tables.read_table(spark, str(tmp_path / "x.xlsx")).columns == ["n"]
+    with pytest.raises(KeyError, match="no sheet"):
+        tables.read_table(spark, str(tmp_path / "x.xlsx"), sheet="other")
     a = tables.read_table(spark, str(tmp_path / "a.csv"))
     assert a.columns == ["row_name", "log2FC", "p"] and tables.resolved(a, "Unnamed: 0") == "row_name"
     assert [r.lfc for r in hz.Mapping("row_name", "log2FC", "p").project(a).orderBy("gene_symbol").collect()] == [None, 1.0]
@@ -183,6 +232,51 @@ def test_soft_text(spark):
     assert {r.key: r["values"] for r in tables.soft_series(lines).collect()} == {"!Series_title": ["T"], "!Series_pubmed_id": ["2", "1"]}
 
 
+def test_records(spark):
+    assert records.query_terms("HIF-1 alpha's (target)[MeSH]") == ["HIF-1", "alpha's", "target", "MeSH"]
+    assert records.entrez_query("low oxygen", "Homo sapiens").startswith('("low"[All Fields] AND "oxygen"[All Fields]) AND gse[ETYP] AND "Homo sapiens"[Organism]')
+    for wrong in ("", "x" * 201, "a\tb", "?!", " ".join("abcdefghijklm")):
+        with pytest.raises(ValueError):
+            records.query_terms(wrong)
+    ranked = spark.createDataFrame([(k,) for k in range(1, 46)], "rank int")
+    rows, totals = records.page(ranked, 3, 20)
+    assert [r.rank for r in rows.collect()] == list(range(41, 46)) and tuple(totals.first()) == (45, 3, False, 3, 20)
+    kind = f"record_id string, candidates array<{records.CANDIDATE}>"
+    c = lambda n: (None, "geo", "GSE1", f"http://h/{n}", n, "deg_table", None, None)
+    own = spark.createDataFrame([("a", [c("x")]), ("b", None)], kind)
+    found = records.bound(own, spark.createDataFrame([("a", [c("x"), c("y")])], kind)).collect()
+    assert {r.record_id: [x.name for x in r.candidates] for r in found} == {"a": ["x", "y"], "b": []}
+    full = own.withColumns({"canonical_id": F.col("record_id"), "paper_title": F.lit("T"), "authors": F.array(F.lit("A"), F.lit("B")), "geo_accessions": F.array(F.lit("GSE1"), F.lit("")), "sources": F.array(F.struct(F.lit("sra").alias("provider"), F.lit("S1").alias("accession"), F.lit("u").alias("landing_url")))})
+    full = full.withColumn("data_readiness", records.readiness(F.lit("unknown"), records.has_file(F.col("candidates")), F.lit(False)))
+    flat = {r.canonical_id: r for r in records.publication_rows(full).collect()}
+    assert (flat["a"].authors, flat["a"].candidate_count, flat["a"].readiness_tier, flat["b"].candidate_count, flat["b"].readiness_tier) == ("A; B", 1, "likely_ready", 0, "metadata_only")
+    assert records.dataset_rows(full).count() == 4
+    assert {(r.field, r.value) for r in records.metadata_rows(spark.range(1).select(F.create_map(F.lit("a"), F.lit("1")).alias("metadata"))).collect()} == {("a", "1")}
+
+
+def test_inspection(spark):
+    text = "note\ngene;log2FoldChange;pvalue\nA;1.5;0.01\nB;x;0.2\nC;2;0.5\n"
+    frame = spark.createDataFrame([("t", gzip.compress(text.encode())), ("u", b"\x1f\x8bbroken"), ("v", text.encode("utf-8-sig"))], "table string, payload binary")
+    lines = inspection.table_lines(frame, inspection.decoded(F.col("payload")))
+    got = {r.table: r for r in inspection.inspect_rows(lines).collect()}
+    assert (got["t"].status, got["t"].header_row, got["t"].lfc_numeric_fraction, got["t"].sample_rows) == ("ready_for_review", 2, 0.667, 3) == (got["v"].status, got["v"].header_row, got["v"].lfc_numeric_fraction, got["v"].sample_rows)
+    assert "u" not in got
+    stats = spark.createDataFrame([("m", 1, ["gene", "ctrl1", "ctrl2", "ko1", "ko2", "padj"])] + [("m", k, ["A", "1", "2", "3", "4", "0.5"]) for k in (2, 3)], "table string, line int, cells array<string>")
+    known, unknown = inspection.inspect_matrix(stats).first(), inspection.inspect_matrix(stats, F.lit(True)).first()
+    assert known.status == "upstream_matrix_ready_for_contrast" and known.sample_columns == ["ctrl1", "ctrl2", "ko1", "ko2"] and unknown.sample_columns == [] and unknown.statistic_columns == ["padj"]
+    table = spark.createDataFrame([("A", "1", "0.1", "x", 1), ("A", "2", "0.2", "x", 2), ("B", "3", "1.5", "x", 3), ("C", "4", "0.3", "y", 4), ("", "4", "0.3", "x", 5)], "g string, l string, p string, kind string, source_order int")
+    assert [tuple(r) for r in inspection.author_rows(table, "g", "l", "p", {"kind": "x"}).collect()] == [("A", 1.0, 0.1)]
+
+
+def test_soft_summary_and_links(spark):
+    text = ["!Series_title = T = t", "!Series_summary = a", "!Series_summary = b", "!Series_supplementary_file = f1", "!Series_supplementary_file = f1", "!Series_pubmed_id = 2", "!Sample_organism_ch1 = Mus musculus", "!Sample_organism_ch1 = Homo sapiens", "no mark"]
+    one = tables.soft_summary(spark.createDataFrame(list(enumerate(text)), "line int, value string")).first()
+    assert (one.title, one.summary, one.design, one.supplementary_files, one.pubmed_ids, one.taxa) == ("T = t", "a b", "", ["f1"], ["2"], ["Homo sapiens", "Mus musculus"])
+    found = tables.links(spark.createDataFrame([('{"a": [{"url": "u1", "name": "n"}, {"URL": "u2", "b": {"href": "u3", "fileName": "f"}}]}',), ("broken",), (None,)], "payload string")).collect()
+    assert {(r.name, r.url) for r in found} == {("n", "u1"), ("", "u2"), ("f", "u3")}
+    assert tables.settings([["Key", "Value"], ["# note", "x"], [" a ", 1], ["b"], [None, 2]]) == {"a": "1", "b": ""}
+
+
 def test_catalog():
     base = {"Study ID": "S", "paper-id": "P", "Source Path": "x.csv", "Result Scope": "deg", "gene_column": "g", "lfc_column": "l", "p_column": "p"}
     rows = catalog.normalized([base, base | {"Study ID": "T", "Source Path": "y.csv"}])
@@ -235,6 +329,15 @@ def test_stream_equals_batch(spark, tmp_path):
         assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for x, y in zip(a, b))
 
 
+def test_a_study_in_two_batches_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("S", f"G{g}", 1.0 + g, 0.01, None, g) for g in range(6)], ROWS).withColumn("paper_id", F.lit("P"))
+    for k in range(2):
+        rows.filter(F.col("source_order") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="send a study whole"):
+        incremental.ingest(stream, str(tmp_path / "state")).awaitTermination()
+
+
 def test_entry_points(spark):
     import __spark_entry__
 

@@ -1,6 +1,7 @@
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from concordat.functions import special
 from concordat.operators import evidence as ev
@@ -59,7 +60,7 @@ def test_beta_tail_and_t(spark):
     want = [sum(math.comb(5, j) * x**j * (1 - x) ** (5 - j) for j in range(k, 6)) for x, k in rows]
     assert got == pytest.approx(want, rel=1e-12, abs=0)
     assert special.t_quantile(1) == pytest.approx(12.7062047364, rel=1e-9) and special.t_quantile(10) == pytest.approx(2.22813885196, rel=1e-9)
-    assert special.t_two_sided(2.0, 10.0) == pytest.approx(0.0733880348, rel=1e-8)
+    assert special.t_two_sided(np.array([2.0]), np.array([10.0]))[0] == pytest.approx(0.0733880348, rel=1e-8)
 
 
 def test_one_source_is_not_two(spark):
