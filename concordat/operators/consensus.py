@@ -97,10 +97,12 @@ def rank_product(units: DataFrame, least: int = 2) -> DataFrame:
     return grouped.filter(F.col("n_studies_rank") >= least_units(least)).select("gene_symbol", "n_studies_rank", F.exp("m").alias("rank_product"), (-F.col("m") + 0.0).alias("rank_score"))
 
 
-def consensus(harmonized: DataFrame, least: int = 2, units: DataFrame | None = None) -> DataFrame:
-    """Stouffer and rank product together with adjusted p, and slice_rank by (padj, p, -log10 p descending, entity)."""
+def consensus(harmonized: DataFrame, least: int = 2, units: DataFrame | None = None, ranked: bool = True) -> DataFrame:
+    """Stouffer and rank product together with adjusted p and, if ranked, slice_rank by (padj, p, -log10 p descending, entity)."""
     units = settled(collapse(harmonized)) if units is None else units
     both = stouffer(units, least).join(rank_product(units, least), "gene_symbol", "left")
     adjusted = bh_adjust(both, "stouffer_p", "stouffer_padj")
+    if not ranked:
+        return adjusted
     # Ordering by p is ordering by padj, then p, where adjusted values tie; the log tells underflowed p apart.
     return global_rank(adjusted, -F.col("stouffer_neglog10_p"), [F.col("gene_symbol")], "slice_rank")

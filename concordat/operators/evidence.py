@@ -9,6 +9,7 @@ from concordat.functions.special import log_sf, rounded
 from concordat.functions.text import finite, joined
 from concordat.operators.consensus import sign
 from concordat.operators.units import collapse, eligible_rows
+from concordat.store import settled
 
 # Quality weights by source type and table scope.
 TYPE_WEIGHTS = {"author_deg_table": 1.00, "limma_full_table": 0.90, "microarray_author_deg_table": 0.90, "derived_count_table": 0.85, "normalized_expression_matrix": 0.35}
@@ -73,7 +74,7 @@ def evidence(harmonized: DataFrame) -> DataFrame:
             present = present.withColumn(name, F.lit(value))
     for name in {*UNIT_LABELS, *UNIT_CONTRIBUTING.values(), *ENTITY_LABELS.values(), "n_ctrl", "n_treat", "padj"} - set(present.columns):
         present = present.withColumn(name, F.lit(None).cast("string"))
-    rows = eligible_rows(present)
+    rows = settled(eligible_rows(present))
     by_unit = rows.groupBy("source_unit_id").agg(*[joined(F.col(c)).alias(c) for c in UNIT_LABELS], *[joined(F.col(c)).alias(t) for t, c in UNIT_CONTRIBUTING.items()])
     by_entity = rows.groupBy("gene_symbol", "source_unit_id").agg(
         *[joined(F.col(c).cast("string")).alias(t) for t, c in ENTITY_LABELS.items()],
@@ -98,8 +99,9 @@ def pairwise(rows: DataFrame) -> DataFrame:
     each = rows.select("gene_symbol", "source_unit_id", rounded(F.col("lfc"), 9).alias("lfc"))
     pairs = each.alias("a").join(each.alias("b"), (F.col("a.gene_symbol") == F.col("b.gene_symbol")) & (F.col("a.source_unit_id") < F.col("b.source_unit_id"))).select(F.col("a.source_unit_id").alias("source_a"), F.col("b.source_unit_id").alias("source_b"), F.col("a.lfc").alias("x"), F.col("b.lfc").alias("y"))
     pair = Window.partitionBy("source_a", "source_b")
-    for v in ("x", "y"):
-        pairs = pairs.withColumn(f"r{v}", F.rank().over(pair.orderBy(v)) + (F.count("*").over(Window.partitionBy("source_a", "source_b", v)) - 1) / 2.0)
+    for v in ("x", "y"):  # ties are counted in the order that ranks them: one sort for each side, one shuffle for both
+        tied = pair.orderBy(v).rangeBetween(Window.currentRow, Window.currentRow)
+        pairs = pairs.withColumn(f"r{v}", F.rank().over(pair.orderBy(v)) + (F.count("*").over(tied) - 1) / 2.0)
     agreed = F.avg((sign(F.col("x")) * sign(F.col("y")) > 0).cast("double"))
     stats = pairs.groupBy("source_a", "source_b").agg(F.count("*").alias("overlap"), agreed.alias("sign_agreement"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"), *[F.sum(e).alias(n) for n, e in {"sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") * F.col("rx"), "syy": F.col("ry") * F.col("ry"), "sxy": F.col("rx") * F.col("ry")}.items()])
     n = F.col("overlap")

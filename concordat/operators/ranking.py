@@ -52,7 +52,7 @@ def bh_adjust(df: DataFrame, p: str, name: str, missing_as_one: bool = False) ->
     ranked = dealt.withColumn("__within", F.row_number().over(up)).join(before, "__range", "left")
     raw = ranked.withColumn("__raw", F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__within")))
     least = raw.filter("__p is not null").groupBy("__range").agg(F.min("__raw").alias("__least"))
-    after = settled(least.select("__range", F.min("__least").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after")))
+    after = least.select("__range", F.min("__least").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
     down = Window.partitionBy("__range").orderBy(F.col("__within").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = raw.withColumn("__own", F.min("__raw").over(down)).join(after, "__range", "left")
     adjusted = F.when(F.col("__p").isNotNull(), F.least(F.lit(1.0), "__own", F.coalesce("__after", F.lit(1.0))))

@@ -99,7 +99,7 @@ def score(harmonized: DataFrame, least: int = 2, ablation: Ablation | None = Non
     if not ablation.sample_size:
         rows = rows.withColumn("weight", F.lit(1.0))
     n_units = units.count()
-    found = consensus(capped, least).join(support(rows), "gene_symbol", "left")
+    found = consensus(capped, least, ranked=False).join(support(rows), "gene_symbol", "left")
     found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_source_units", "n_contrasts_observed")})
     found = components(found, n_units)
     zeros = {c: F.coalesce(c, F.lit(0.0)) for c in ("quality_score", "quality_stouffer_z", "quality_sign_concordance", "source_quality_support_score", "source_quality_weight_sum", *[f"quality_{c}" for c in lanes.MAIN])}

@@ -118,3 +118,8 @@ def in_all_units(harmonized: DataFrame) -> DataFrame:
     """Entities that every unit reports."""
     n = harmonized.agg(F.count_distinct("source_unit_id").alias("n")).scalar()
     return harmonized.groupBy("gene_symbol").agg(F.count_distinct("source_unit_id").alias("units")).filter(F.col("units") == n)
+
+
+def has_listed_sources(evidence: DataFrame) -> DataFrame:
+    """One row: whether a source reports significant rows only, which inflates combined significance."""
+    return evidence.agg(F.coalesce(F.bool_or(F.contains(F.lower("table_scope"), F.lit("deg_only"))), F.lit(False)).alias("any_listed_source"))

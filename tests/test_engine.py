@@ -1,4 +1,5 @@
 import gzip
+import json
 import math
 import random
 
@@ -307,6 +308,10 @@ def test_demo_run(spark, tmp_path):
     assert run.validate(spark, path).count() == 4
     done = run.run(spark, path, str(tmp_path / "out"))
     scores = spark.read.parquet(str(tmp_path / "out" / "scores"))
+    told = {r.field: json.loads(r.value) for r in spark.read.parquet(str(tmp_path / "out" / "summary")).collect()}
+    assert told["n_active_catalog_rows"] == 4 and told["n_harmonized_rows"] == 40 and told["gold_panel_status"] == "not_provided" and set(told["scopes"].values()) == {"full_results"}
+    apart = spark.createDataFrame([("A", "x"), ("B", "y")], "source_unit_id string, gene_symbol string")
+    assert "no entity is in all 2 units" in run.nothing_scored(apart, 2) and "only 2" in run.nothing_scored(apart, 3)
     assert done.n_units == 3 and scores.count() == 9 and scores.orderBy("quality_rank").first().gene_symbol == "CA9"
     db = str(tmp_path / "serve.sqlite")
     sinks.write_sqlite({"genes": scores.select("gene_symbol", "quality_rank")}, db, {"genes": ["quality_rank"]})
