@@ -314,12 +314,12 @@ def _alike_links(bodies: DataFrame, least: float, size: int) -> DataFrame:
 
 
 def _blocked(proposed: DataFrame, block: int) -> DataFrame:
-    """proposed(component, node, size) with the pairs of blocks (one <= other) in which each row is compared."""
+    """The rows of proposed(component, node, size, ...) that have a partner, for each pair of blocks (one <= other) they are compared in."""
     several = proposed.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
     several = written(several.select("component", F.ceil(F.col("bytes") / block).alias("blocks")), "blocks")
     held = proposed.join(several, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
     each = held.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("blocks", F.lit(1)) - 1)))
-    return each.select("component", "node", F.least("block", "x").alias("one"), F.greatest("block", "x").alias("other"))
+    return each.withColumns({"one": F.least("block", "x"), "other": F.greatest("block", "x")}).drop("block", "x", "blocks")
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD, similarity: float | None = None, compared: int = 5, block: int = BLOCK) -> DataFrame:
@@ -328,20 +328,20 @@ def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id"
     similarity: links within the fingerprints' components count only if the sets of shingles of `compared` words are so alike.
     """
     here = located(docs)
-    rows = written(fingerprints(here, text=text, carry=(id_column, FILE, ROW), shingle=shingle), "fingerprints")
+    sized = here.withColumn("__size", F.octet_length(whole(text)).cast("bigint"))
+    rows = written(fingerprints(sized, text=text, carry=(id_column, FILE, ROW, "__size"), shingle=shingle), "fingerprints")
     named = classed(rows, id_column=id_column, place=(FILE, ROW), radius=radius, crowd=crowd)
     if similarity is None:
         return without(here, named.filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}"))))
     # Two components that share a hash are compared as one, which changes nothing.
     node = F.concat(FILE, F.lit("#"), F.lpad(F.col(ROW).cast("string"), 20, "0"))
-    named = written(named.select(FILE, ROW, F.col(id_column).alias("id"), node.alias("node"), F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
-    several = written(named.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
-    texts = here.select(FILE, ROW, whole(text).alias("text"), F.octet_length(whole(text)).cast("bigint").alias("size"))
-    proposed = written(named.join(several, "component").join(texts, [FILE, ROW]), "several-texts")
-    pairs = _blocked(proposed.select("component", "node", "size"), block)
-    links = _alike_links(proposed.select("component", "node", "text").join(pairs, ["component", "node"]), similarity, compared)
+    named = written(named.select(FILE, ROW, F.col(id_column).alias("id"), F.col("__size").alias("size"), node.alias("node"), F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
+    # Narrow rows first: only the texts of rows with a proposed partner move, once for each block they are compared with.
+    pairs = written(_blocked(named, block), "pairs")
+    texts = here.select(FILE, ROW, whole(text).alias("text")).join(pairs.select(FILE, ROW, "node", "component", "one", "other"), [FILE, ROW])
+    links = _alike_links(texts, similarity, compared)
     roots = components(written(links, "alike"))
-    linked = written(proposed.select("node", "id", FILE, ROW).join(roots, "node"), "linked")
+    linked = written(named.select("node", "id", FILE, ROW).join(roots, "node"), "linked")
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", FILE, ROW)).alias("first"))
     later = linked.join(first, "root").filter((F.col(FILE) != F.col(f"first.{FILE}")) | (F.col(ROW) != F.col(f"first.{ROW}")))
     return without(here, later)
