@@ -59,11 +59,22 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix)
 ORACLE_SQL = None
 
 
+#: Rows that a Python worker takes at once; whole texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        for name, stage in STAGES:
+            path = scratch(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return docs
