@@ -92,19 +92,13 @@ def score(harmonized: DataFrame, least: int = 2, ablation: Ablation | None = Non
     """All lanes of all entities with at least `least` source units."""
     least, ablation = least_units(least), ablation or Ablation()
     capped = ev.capped_effects(harmonized)
-    rows, units = assessed(harmonized)
-    if not ablation.source_quality:
-        names = ["source_quality_weight", "source_coherence_weight", "source_recommended_weight", "source_reliability_weight"]
-        rows, units = (df.withColumns({c: F.lit(1.0) for c in names}) for df in (rows, units))
-    if not ablation.sample_size:
-        rows = rows.withColumn("weight", F.lit(1.0))
+    rows, units = ablated(*assessed(harmonized), ablation)
     n_units = units.count()
     found = consensus(capped, least, ranked=False).join(support(rows), "gene_symbol", "left")
     found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_source_units", "n_contrasts_observed")})
     found = components(found, n_units)
     zeros = {c: F.coalesce(c, F.lit(0.0)) for c in ("quality_score", "quality_stouffer_z", "quality_sign_concordance", "source_quality_support_score", "source_quality_weight_sum", *[f"quality_{c}" for c in lanes.MAIN])}
-    quality = _quality(rows, units, ablation)
-    found = settled(found.join(quality, "gene_symbol", "left").withColumns(zeros).withColumn("quality_direction", F.coalesce("quality_direction", F.lit("flat"))))
+    found = settled(found.join(quality(rows, units, ablation), "gene_symbol", "left").withColumns(zeros).withColumn("quality_direction", F.coalesce("quality_direction", F.lit("flat"))))
     n = found.count()
     direct = lanes.direction_confidence(rows, found, "stouffer_z", "direction_confidence_index")
     weighed = lanes.direction_confidence(rows, found, "quality_stouffer_z", "quality_direction_confidence_index", True).select("gene_symbol", "quality_direction_confidence_index")
@@ -129,7 +123,16 @@ def score(harmonized: DataFrame, least: int = 2, ablation: Ablation | None = Non
     return Scored(labelled(found, n, n_units), rows, units, n_units)
 
 
-def _quality(rows: DataFrame, units: DataFrame, ablation: Ablation) -> DataFrame:
+def ablated(rows: DataFrame, units: DataFrame, ablation: Ablation) -> tuple[DataFrame, DataFrame]:
+    """Evidence and diagnostics without what the ablation leaves out."""
+    if not ablation.source_quality:
+        names = ["source_quality_weight", "source_coherence_weight", "source_recommended_weight", "source_reliability_weight"]
+        rows, units = (df.withColumns({c: F.lit(1.0) for c in names}) for df in (rows, units))
+    return (rows if ablation.sample_size else rows.withColumn("weight", F.lit(1.0))), units
+
+
+def quality(rows: DataFrame, units: DataFrame, ablation: Ablation) -> DataFrame:
+    """The quality lane of ablated evidence."""
     total = units.agg(F.sum("source_reliability_weight")).first()[0] or 0.0  # one number
     return lanes.quality_consensus(rows, F.lit(float(total)), ablation.weights).drop("quality_weighted_lfc")
 

@@ -280,19 +280,22 @@ def ablation_no_quality(spark, sf):
     return rows.filter("n_source_units >= 2").select("gene_symbol", "quality_stouffer_z").withColumn("quality_stouffer_z", rounded(F.col("quality_stouffer_z")))
 
 
-@query(f"select gene_symbol, {r6('sum(e * signed_z) / sqrt(sum(e * e))')} as quality_stouffer_z from (select *, greatest(reliability, 0.05) as e from evid) group by 1 having count(*) >= 2")
+def _ablated(spark: SparkSession, sf: str, ablation: sc.Ablation) -> DataFrame:
+    """The quality lane alone: the other lanes don't feel these ablations."""
+    return sc.quality(*sc.ablated(*assessed(spark, sf), ablation), ablation)
+
+
+@query(f"select gene_symbol, {r6('sum(e * signed_z) / sqrt(sum(e * e))')} as quality_stouffer_z from (select *, greatest(reliability, 0.05) as e from evid) group by 1")
 def ablation_no_sample_size(spark, sf):
-    rows = scored(spark, sf, sc.Ablation(sample_size=False)).scores
-    return rows.filter("n_source_units >= 2").select("gene_symbol", "quality_stouffer_z").withColumn("quality_stouffer_z", rounded(F.col("quality_stouffer_z")))
+    return _ablated(spark, sf, sc.Ablation(sample_size=False)).select("gene_symbol", rounded(F.col("quality_stouffer_z")).alias("quality_stouffer_z"))
 
 
 _SOME = {"support_score": 0.30, "evidence_score": 0.20}
 
 
-@query(f"select gene_symbol, {r6(geometric(_SOME, 'quality_'))} as quality_score from qual join (select gene_symbol from consensus) using (gene_symbol)")
+@query(f"select gene_symbol, {r6(geometric(_SOME, 'quality_'))} as quality_score from qual")
 def ablation_components(spark, sf):
-    rows = scored(spark, sf, sc.Ablation(components=tuple(_SOME))).scores
-    return rows.select("gene_symbol", "quality_score")
+    return _ablated(spark, sf, sc.Ablation(components=tuple(_SOME))).select("gene_symbol", rounded(F.col("quality_score")).alias("quality_score"))
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
