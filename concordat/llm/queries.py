@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, exact_stream, langid, line_clean, mixing, pseudonym, simhash, token_cache, url_reputation, warc
+from concordat.llm import bpe, bpe_slices, exact_stream, langid, line_clean, mixing, pseudonym, simhash, token_cache, url_reputation, warc
 from concordat.llm.shared import scratch, table
 
 BPE_50K = "byte_bpe_50k.json"
+BPE_MULTI = "byte_bpe_multi_50k.tiktoken"
 
 #: The rules that decide before any reputation does: (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -80,6 +81,11 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), language_evidence(spark, sf_dir), LANGUAGES).withColumn("posterior", F.round("posterior", 6))
 
 
+def op13_bpe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe_slices.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_MULTI))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pages made of documents declare about their language."""
     pages = table(spark, sf_dir, "pages")
@@ -89,7 +95,7 @@ def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.page_evidence(pages, document, host, url_reputation.domain_of(host, two_label), url_reputation.suffix_of(host), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op3_temperature_mix, op4_feistel_pii, op5_line_rules, op6_warc_derivatives, op7_simhash, op8_exact_stream, op9_bpe_lexicon, op10_language_fusion)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op3_temperature_mix, op4_feistel_pii, op5_line_rules, op6_warc_derivatives, op7_simhash, op8_exact_stream, op9_bpe_lexicon, op10_language_fusion, op13_bpe_slices)}
 
 
 def _quoted(values: tuple[str, ...]) -> str:
