@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, bpe_slices, exact_stream, langid, line_clean, mixing, pseudonym, simhash, token_cache, url_reputation, warc
+from concordat.llm import bpe, bpe_slices, divergence, exact_stream, hard_negatives, langid, line_clean, mixing, pseudonym, simhash, token_cache, url_reputation, warc
 from concordat.llm.shared import scratch, table
 
 BPE_50K = "byte_bpe_50k.json"
@@ -81,6 +81,15 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), language_evidence(spark, sf_dir), LANGUAGES).withColumn("posterior", F.round("posterior", 6))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, most=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
 def op13_bpe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe_slices.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_MULTI))
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -95,7 +104,7 @@ def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.page_evidence(pages, document, host, url_reputation.domain_of(host, two_label), url_reputation.suffix_of(host), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op3_temperature_mix, op4_feistel_pii, op5_line_rules, op6_warc_derivatives, op7_simhash, op8_exact_stream, op9_bpe_lexicon, op10_language_fusion, op13_bpe_slices)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_token_counts, op3_temperature_mix, op4_feistel_pii, op5_line_rules, op6_warc_derivatives, op7_simhash, op8_exact_stream, op9_bpe_lexicon, op10_language_fusion, op11_source_divergence, op12_hard_negatives, op13_bpe_slices)}
 
 
 def _quoted(values: tuple[str, ...]) -> str:
@@ -230,4 +239,51 @@ select doc_id, source, round(weight, 9) as weight, epoch, block,
   round((epoch - 1 + ('0x' || substr(md5('17|' || coalesce(source, '') || '|' || epoch || '|' || block), 1, 8))::bigint / 4294967296.0) / ceil(coalesce(wanted::double / nullif(tokens, 0), 1.0)), 9) as position
 from (select *, unnest(generate_series(1, epochs + partly::int)) as epoch from read)"""
 
-ORACLE_SQL = {"op1_url_reputation": _url_sql(), "op3_temperature_mix": _MIX_SQL, "op5_line_rules": _line_sql(), "op8_exact_stream": _EXACT_SQL}
+_DIVERGENCE_SQL = r"""
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (
+  select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) as term
+  from docs),
+kept as (select lang, term, count(*) as n from words group by 1, 2 having count(distinct r) >= 10),
+counted as (select w.lang, w.source, w.term, count(*) as n from words w join kept k on w.lang = k.lang and w.term = k.term group by 1, 2, 3),
+langs as (select lang, count(*) as v, sum(n) as n from kept group by 1),
+groups as (
+  select g.lang, g.source, coalesce(c.n, 0) as n, coalesce(l.v, 0) as v, coalesce(l.n, 0) as all_n
+  from (select distinct lang, source from docs) g
+  left join (select lang, source, sum(n) as n from counted group by 1, 2) c on g.lang = c.lang and g.source = c.source
+  left join langs l on g.lang = l.lang),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) as p,
+    1 + (1000000000::hugeint * (k.n + 2)) // (g.all_n + 2 * g.v) as q
+  from groups g join kept k on g.lang = k.lang left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+all_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from shares where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from all_pairs union all select * from terms))
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 10"""
+
+_NEGATIVES_SQL = """
+with rows as (
+  select row_number() over () as r, vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.r, a.id as anchor_id, b.r as b, b.id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.r <> b.r where a.id % 50 = 0),
+positives as (select *, row_number() over (partition by r order by score desc, id) as k from scored where same qualify k <= 5),
+fits as (
+  select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.r, p.k order by n.score desc, n.id) as rank
+  from positives p join scored n on p.r = n.r and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from fits where rank <= 3"""
+
+ORACLE_SQL = {"op11_source_divergence": _DIVERGENCE_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op1_url_reputation": _url_sql(), "op3_temperature_mix": _MIX_SQL, "op5_line_rules": _line_sql(), "op8_exact_stream": _EXACT_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cogrouped(left: DataFrame, right: DataFrame, keys: tuple[str, ...], f: Callable, schema: str) -> DataFrame:
+    """f(Arrow table, Arrow table) for each key of either side; both may come of the same table, so their columns are named anew."""
+    left, right = (x.toDF(*x.columns) for x in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(f, schema)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with the columns FILE and ROW, which name each row's place in its file.
 
