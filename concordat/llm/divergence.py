@@ -1,13 +1,14 @@
 """Source divergence audit: how differently the sources of a language use its terms, and which terms mark a source.
 
-Each task counts its documents in byte tries, one for a language, whose leaves have a counter for each source. The tries
-leave the task as their leaves in byte order. Spark deals the leaves of all tries to ranges of (language, term), so the
-part of every trie that lies between two prefixes meets in one task, in order; tries merge there leaf by leaf. Kept leaves
-stay in this order and are cut into pieces of PIECE terms; each piece meets the totals of its language's sources and gives
-every pair's share of the divergence and each source's best terms, whose ties the order of traversal breaks.
+Each task counts its documents in byte tries, one for a language, whose leaves have a counter for each source (see
+tries.py). Spark deals the leaves of all tries to ranges of (language, term), so the part of every trie that lies between
+two prefixes meets in one task, in order; tries merge there leaf by leaf. Kept leaves stay in this order and are cut into
+ranges of prefixes, pieces of PIECE terms at most; each piece meets the totals of its language's sources and gives every pair's share of the divergence
+and each source's best terms, whose ties the order of traversal breaks.
 
-Memory: a task's tries are written out at HELD counters; merging holds one leaf, a piece's share PIECE x sources numbers, in
-blocks of BLOCK. The pairs of sources of a language are the result and so bound what is summed.
+Memory: a task's tries are written out at HELD terms, LOOSE words are counted at once; merging holds a batch of leaves, a
+piece's share PIECE x sources numbers, in blocks of BLOCK. The pairs of sources of a language are the result and so bound
+what is summed. A task tells up to 2^20 sources of a language apart before it writes its tries out.
 
 Defined results: null text, language or source count as ''. Every group (language, source) that occurs is compared, also
 without terms; a language without kept terms has value 0 for each pair and no terms. Repeated rows count as documents of
@@ -17,7 +18,7 @@ an empty result. Columns other than text, language and source are left out.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.shared import cogrouped, whole, written
-from concordat.llm.tries import ByteTrie, merged
+from concordat.llm.tries import LEAF, Counting, merged_stream, prefix_ranges
 
-#: Counters that a task holds before its tries are written out, and what it counts in plain tables before they join a trie.
-HELD, LOOSE = 300_000, 150_000
+#: Terms that a task holds before its tries are written out, and words that it counts at once.
+HELD, LOOSE = 400_000, 2_000_000
 #: Bytes of a text that are split at once.
 CUT = 1 << 22
+#: Sources of a language in one trie at most.
+SOURCES = 1 << 20
 #: Kept terms of a piece, numbers of a block, and into how many parts the totals of a language are dealt.
 PIECE, BLOCK, SALT = 512, 1 << 21, 16
 #: p is counted in these parts; each count has this much added.
 SCALE, ADDED = 1_000_000_000, 2
 
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-LEAF = "lang string, term binary, docs bigint, sources array<string>, counts array<bigint>"
 KEPT = "lang string, piece string, term binary, n bigint, sources array<string>, counts array<bigint>"
 SHARE = "lang string, source string, part string, item binary, value bigint"
 
@@ -61,89 +63,46 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The leaves of this task's tries."""
-    tries: dict[str, ByteTrie] = defaultdict(ByteTrie)
-    words: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    docs: dict[str, Counter] = defaultdict(Counter)
-
-    def fold() -> None:
-        for (lang, source), found in words.items():
-            add = tries[lang].add
-            for term, n in found.items():
-                add(term, source, n)
-        for lang, found in docs.items():
-            leaf = tries[lang].leaf
-            for term, n in found.items():
-                leaf(term)[0] += n
-        words.clear()
-        docs.clear()
+    tries: dict[str, Counting] = defaultdict(Counting)
 
     def leave() -> Iterator[pa.RecordBatch]:
         for lang in sorted(tries):
-            rows: list[tuple] = []
-            for term, (n, by_source) in tries[lang].walk():
-                rows.append((term, n, list(by_source), list(by_source.values())))
-                if len(rows) == 10_000:
-                    yield _leaves(lang, rows)
-                    rows = []
-            if rows:
-                yield _leaves(lang, rows)
+            yield from tries[lang].leaves(lang).to_batches(max_chunksize=10_000)
         tries.clear()
 
-    loose = 0
     for x in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in x.columns)):
-            count, before = words[lang, source], len(words[lang, source])
-            seen: set[bytes] = set()
-            for found in terms(text):
-                count.update(found)
-                seen.update(found)
-            docs[lang].update(seen)
-            loose += len(count) - before
-            if loose >= LOOSE:
-                fold()
-                loose = 0
-                if sum(t.counters for t in tries.values()) >= HELD:
-                    yield from leave()
-    fold()
+            trie = tries[lang]
+            trie.add(terms(text), source)
+            if trie.loose >= LOOSE:
+                trie.fold()
+            if sum(len(t.terms) for t in tries.values()) >= HELD or len(trie.sources) >= SOURCES:
+                yield from leave()
     yield from leave()
 
 
-def _leaves(lang: str, rows: list[tuple]) -> pa.RecordBatch:
-    term, n, sources, counts = zip(*rows)
-    columns = [pa.array([lang] * len(rows), pa.string()), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources", "counts"])
-
-
 def _merge(least: int):
     """Merges leaves that come in order and keeps the terms of at least so many documents, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-
-        def leaves() -> Iterator[tuple]:
-            for x in batches:
-                lang, *rest = (c.to_pylist() for c in x.columns)
-                yield from zip(zip(lang, rest[0]), *rest[1:])
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            names = ["lang", "piece", "term", "n", "sources", "counts"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        rows: list[tuple] = []
-        piece, inside, last = 0, 0, None
-        for (lang, term), docs, by_source in merged(leaves()):
-            if docs < least:
+        piece = 0
+        for leaves in merged_stream(batches):
+            kept = leaves.filter(pc.greater_equal(leaves["docs"], least)).combine_chunks()
+            if not kept.num_rows:
                 continue
-            if lang != last or inside == PIECE:
-                piece, inside, last = piece + 1, 0, lang
-            inside += 1
-            rows.append((lang, f"{task}-{piece}", term, sum(by_source.values()), list(by_source), list(by_source.values())))
-            if len(rows) == 5000:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
+            names, lang = [], kept["lang"].to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), len(lang)]
+            for a, b in zip(borders, borders[1:]):
+                starts = prefix_ranges(kept["term"].slice(a, b - a).combine_chunks(), PIECE)
+                for size in np.diff([*starts, b - a]).tolist():
+                    names += [f"{task}-{piece}"] * size
+                    piece += 1
+            counts = kept["counts"].combine_chunks()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(counts).to_numpy(zero_copy_only=False))])
+            total = np.diff(np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())])[bounds])
+            columns = [kept["lang"], pa.array(names, pa.string()), kept["term"], pa.array(total), kept["sources"], kept["counts"]]
+            yield from pa.table(columns, ["lang", "piece", "term", "n", "sources", "counts"]).to_batches()
 
     return run
 

@@ -4,10 +4,13 @@ Documents land as narrow rows (digest, identifier, content locator) and stream t
 Its state is kept in RocksDB, on disk, and never expires: for each digest it holds the identifier and locator of the row
 that stays, the locator of the row that came first, and the group's size. Each ingest processes what is new and ends; the
 state and the landed rows stay in one folder in shared storage, so a later ingest, or a restart after a loss, goes on from
-there. An ingest that was cut off is taken up where it stood.
+there. An ingest first records the files it reads and counts as landed only with its mark of success. One that was cut off
+is taken up where it stood by a call for the same files; a call for others first ends it, from its own files, if its rows
+had landed, and else forgets it. Frames that don't come from files have new files each time, so give files to an ingest
+that is to be taken up.
 
 A hit (a row whose digest the state already holds under another locator) is checked against the full bytes at the stored
-locator, in the files of the earlier ingest where it lies there. Texts of one digest are combined to the least and the
+locator, in the file of the earlier ingest where it lies there; no other file is read. Texts of one digest are combined to the least and the
 largest before they are shuffled: where both are equal, all are. Should a digest collide, the groups concerned are split
 by their whole texts over all ingests, so the result is exact for any digest. The texts of rows without a hit never move.
 Earlier inputs must stay readable.
@@ -26,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import FILE, ROW, located, scratch, whole, without, written
+from concordat.llm.shared import FILE, ROW, exists, located, only, scratch, whole, without, written
 
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -57,7 +60,8 @@ class Ingest(NamedTuple):
 class ExactDedup:
     """A deduplicating store in a folder of shared storage (a new one under spark.checkpoint.dir by default).
 
-    Its tables: landed/ingest=k (id, FILE, ROW, digest), inputs/ingest=k (the files that ingest k read), state/epoch=e (what
+    Its tables: begun/ingest=k and inputs/ingest=k (the files that ingest k reads, at its start and when it has ended),
+    landed/ingest=k (id, FILE, ROW, digest), state/epoch=e (what
     a micro-batch changed: digest, stays, first, n, ingest), collided/ingest=k (digests that differing texts share).
     """
 
@@ -82,18 +86,31 @@ class ExactDedup:
         """Adds docs to the state and checks its hits."""
         number = (self._inputs().agg(F.max("ingest")).first()[0] or 0) + 1
         here = located(docs)
+        files = here.inputFiles()
+        begun = f"{self.folder}/begun/ingest={number}"
+        landed = False
+        if exists(self.spark, f"{begun}/_SUCCESS"):
+            former = [r.path for r in self.spark.read.schema("path string").parquet(begun).collect()]
+            landed = exists(self.spark, f"{self.folder}/landed/ingest={number}/_SUCCESS")
+            if landed and set(former) != set(files):
+                self._end(number, located(self.spark.read.parquet(*former)), former, True)
+                return self.ingest(docs)
+        self._list(files, begun)
+        return self._end(number, here, files, landed)
+
+    def _list(self, files: list[str], path: str) -> None:
+        self.spark.createDataFrame([(x,) for x in files], "path string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def _end(self, number: int, here: DataFrame, files: list[str], landed: bool) -> Ingest:
+        """Lands an ingest that hasn't landed, and takes it through to its end."""
         rows = self._rows(here).drop("body")
         self.kind = rows.schema["id"].dataType.simpleString()
-        try:  # an ingest that was cut off after its rows had landed isn't landed twice
-            rows.write.mode("error").parquet(f"{self.folder}/landed/ingest={number}")
-        except AnalysisException as there:
-            if "PATH_ALREADY_EXISTS" not in str(there):
-                raise
+        if not landed:  # what a landing that was cut off has left is no row of anything
+            rows.write.mode("overwrite").parquet(f"{self.folder}/landed/ingest={number}")
         self._advance()
         one = Ingest(number, here)
         self._collided(one).write.mode("overwrite").parquet(f"{self.folder}/collided/ingest={number}")
-        files = self.spark.createDataFrame([(x,) for x in here.inputFiles()], "path string")
-        files.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/inputs/ingest={number}")
+        self._list(files, f"{self.folder}/inputs/ingest={number}")
         return one
 
     def _landed(self) -> DataFrame:
@@ -124,24 +141,22 @@ class ExactDedup:
         newest = held.filter(F.col("ingest") >= since).groupBy("digest").agg(F.max(F.struct("epoch", "stays", "first", "n")).alias("x"))
         return newest.select("digest", "x.stays", "x.first", "x.n").filter("n > 1")
 
-    def _bodies(self, places: DataFrame, before: int) -> DataFrame:
-        """(digest, body) at the places (digest, FILE, ROW) in the files of the ingests before `before`."""
-        paths = [r.path for r in self._inputs().filter(F.col("ingest") < before).select("path").distinct().collect()]
-        kind = "digest binary, body string"
-        if not paths or places.isEmpty():
-            return self.spark.createDataFrame([], kind)
+    def _bodies(self, places: DataFrame) -> DataFrame:
+        """(digest, body) at the written places (FILE, ROW) in the files of earlier ingests; only files with a place are read."""
+        paths = [r[0] for r in places.select(FILE).distinct().collect()]
+        if not paths:
+            return self.spark.createDataFrame([], "digest binary, body string")
         earlier = self.spark.read.schema(f"`{self.text}` string").parquet(*paths)
-        there = earlier.select(self.normalise(whole(self.text)).alias("body"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-        return there.join(places, [FILE, ROW]).select("digest", "body")
+        there = only(located(earlier), places).select(self.normalise(whole(self.text)).alias("body"))
+        return there.select(self.digest(F.col("body")).alias("digest"), "body")
 
     def _collided(self, one: Ingest) -> DataFrame:
         """(digest) of the digests that hits of this ingest share with a differing text."""
         groups = written(self._groups(one.number), "groups")
-        # Short keys first: where they are few Spark broadcasts them, and only the copies' texts ever move.
-        keys = written(groups.select(F.xxhash64("digest").alias("key")).distinct(), "keys")
-        hits = self._rows(one.docs).withColumn("key", F.xxhash64("digest")).join(keys, "key", "left_semi").select("digest", "body")
-        stored = groups.filter(F.col("first.ingest") < one.number).select("digest", f"first.{FILE}", f"first.{ROW}")
-        texts = hits.union(self._bodies(written(stored, "stored"), one.number))
+        mine = self._landed().filter(F.col("ingest") == one.number).join(groups.select("digest"), "digest")
+        hits = self._rows(only(one.docs, mine)).select("digest", "body")
+        stored = groups.filter(F.col("first.ingest") < one.number).select(f"first.{FILE}", f"first.{ROW}")
+        texts = hits.union(self._bodies(written(stored, "stored")))
         found = texts.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least <> most").select("digest")
         return found.join(groups, "digest", "left_semi")
 

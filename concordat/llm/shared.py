@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs
+from pyarrow import parquet
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes one file of bounded size to the shared folder, of whatever file system it is; returns its address."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -71,13 +82,49 @@ def located(docs: DataFrame) -> DataFrame:
         return written(docs, "landed").select("*", *place)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of located docs whose place isn't in dropped(FILE, ROW), in the columns of docs.
+def _marked(docs: DataFrame, places: DataFrame) -> Column:
+    """Whether the place of a row of located docs is in places(FILE, ROW).
 
-    dropped is written first: Spark then knows its size and broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
+    places becomes a vector of row numbers for each file of docs, in the shared folder; the task that scans a file looks
+    its rows up there. So texts stay where they are read, however many places there are.
     """
-    gone = written(dropped.select(FILE, ROW), "dropped")
-    return docs.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
+    folder = scratch(docs.sparkSession, "places")
+    key = F.xxhash64(FILE)
+    # Files whose keys collide share a folder, and each has its own rows there.
+    narrow = places.select(FILE, ROW).withColumn("key", key).repartition("key").sortWithinPartitions("key", FILE, ROW)
+    narrow.write.partitionBy("key").parquet(folder)
+
+    @F.pandas_udf("boolean")
+    def there(file: pd.Series, row: pd.Series, where: pd.Series) -> pd.Series:
+        out = np.zeros(len(file), bool)
+        for (name, k), at in file.groupby([file, where], sort=False).indices.items():
+            out[at] = np.isin(row.to_numpy()[at], _rows_of(folder, int(k)).get(name, _NO_ROWS))
+        return pd.Series(out)
+
+    return there(FILE, ROW, key)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of located docs whose place isn't in dropped(FILE, ROW), in the columns of docs."""
+    return docs.filter(~_marked(docs, dropped)).drop(FILE, ROW)
+
+
+def only(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of located docs whose place is in places(FILE, ROW), located still."""
+    return docs.filter(_marked(docs, places))
+
+
+_NO_ROWS = np.zeros(0, np.int64)
+
+
+@lru_cache(maxsize=16)
+def _rows_of(folder: str, key: int) -> dict[str, np.ndarray]:
+    """The row numbers of each file of one key that _marked has written."""
+    system, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/key={key}")
+    if system.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        return {}
+    rows = parquet.read_table(path, filesystem=system, columns=[FILE, ROW], partitioning=None)
+    return {name: np.sort(part.to_numpy()) for name, part in rows.to_pandas().groupby(FILE)[ROW]}
 
 
 def carried(carry: tuple[str, ...], *made: str) -> tuple[str, ...]:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.components import components
-from concordat.llm.shared import FILE, ROW, carried, located, whole, without, written
+from concordat.llm.shared import FILE, ROW, carried, located, only, whole, without, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Buckets of more fingerprints than this go one level down instead of being compared at once.
@@ -338,7 +338,7 @@ def keep_first(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id"
     named = written(named.select(FILE, ROW, F.col(id_column).alias("id"), F.col("__size").alias("size"), node.alias("node"), F.xxhash64(f"first.{FILE}", f"first.{ROW}").alias("component")), "proposed")
     # Narrow rows first: only the texts of rows with a proposed partner move, once for each block they are compared with.
     pairs = written(_blocked(named, block), "pairs")
-    texts = here.select(FILE, ROW, whole(text).alias("text")).join(pairs.select(FILE, ROW, "node", "component", "one", "other"), [FILE, ROW])
+    texts = only(here, pairs.select(FILE, ROW).distinct()).select(FILE, ROW, whole(text).alias("text")).join(pairs.select(FILE, ROW, "node", "component", "one", "other"), [FILE, ROW])
     links = _alike_links(texts, similarity, compared)
     roots = components(written(links, "alike"))
     linked = written(named.select("node", "id", FILE, ROW).join(roots, "node"), "linked")

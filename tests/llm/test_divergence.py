@@ -4,9 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
-from concordat.llm import divergence, queries
-from concordat.llm.tries import ByteTrie, merged
+from concordat.llm import divergence, queries, tries
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -46,21 +46,42 @@ def rows_of(df):
     return sorted(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in df.collect())
 
 
-def test_trie_counts_and_walks_in_byte_order():
+def test_tries_merge_to_the_trie_of_all():
     random.seed(11)
-    terms = ["".join(random.choices("abé中", k=random.randint(1, 6))).encode() for _ in range(3000)]
-    parts, whole = [ByteTrie() for _ in range(3)], Counter()
-    for k, t in enumerate(terms):
-        parts[k % 3].add(t, f"s{k % 2}", 1 + k % 4)
-        parts[k % 3].leaf(t)[0] += 1
-        whole[t, f"s{k % 2}"] += 1 + k % 4
-    for trie in parts:
-        walked = [t for t, _ in trie.walk()]
-        assert walked == sorted(set(walked)) and trie.counters == sum(len(x[1]) for _, x in trie.walk())
-    leaves = sorted(((t,), n, list(c), list(c.values())) for trie in parts for t, (n, c) in trie.walk())
-    got = {(key[0], s): n for key, _, by in merged(iter(leaves)) for s, n in by.items()}
-    assert got == dict(whole)
-    assert sum(n for _, n, _ in merged(iter(leaves))) == len(terms)
+    docs = [(["".join(random.choices("abé中", k=random.randint(1, 6))).encode() for _ in range(random.randint(0, 40))], f"s{k % 3}") for k in range(300)]
+    parts, count, seen = [tries.Counting() for _ in range(4)], Counter(), Counter()
+    for k, (words, source) in enumerate(docs):
+        cut = random.randint(0, len(words))
+        parts[k % 4].add(iter([words[:cut], words[cut:]]), source)
+        if k % 50 == 0:
+            parts[k % 4].fold()
+        count.update((t, source) for t in words)
+        seen.update(set(words))
+    tables = [p.leaves("x") for p in parts]
+    for t in tables:
+        assert t["term"].to_pylist() == sorted(t["term"].to_pylist())
+    together = pa.concat_tables(tables).sort_by([("lang", "ascending"), ("term", "ascending")])
+    for size in (1, 7, 100_000):
+        whole = pa.concat_tables(list(tries.merged_stream(iter(together.to_batches(max_chunksize=size)))))
+        assert whole["term"].to_pylist() == sorted(seen)
+        assert dict(zip(whole["term"].to_pylist(), whole["docs"].to_pylist())) == dict(seen)
+        assert {(t, s): n for t, ss, ns in zip(whole["term"].to_pylist(), whole["sources"].to_pylist(), whole["counts"].to_pylist()) for s, n in zip(ss, ns)} == dict(count)
+    assert tries.Counting().leaves("x").num_rows == 0 and list(tries.merged_stream(iter([]))) == []
+
+
+def test_ranges_of_prefixes():
+    words = sorted({"".join(random.choices("ab", k=random.randint(1, 5))).encode() for _ in range(40)} | {b"", b"zz"})
+    leaves = pa.array(words, pa.binary())
+    back = b""
+    for word, n in zip(words, tries.shared(leaves).tolist()):
+        assert back[:n] + word[n:] == word
+        back = word
+    for most in (1, 2, 5, 1000):
+        starts = tries.prefix_ranges(leaves, most)
+        assert starts[0] == 0 and all(0 < b - a <= most for a, b in zip(starts, [*starts[1:], len(words)]))
+    assert tries.prefix_ranges(leaves[:0], 5) == []
+    two = pa.array([b"aa1", b"aa2", b"aa3", b"b1", b"b2"], pa.binary())
+    assert tries.prefix_ranges(two, 4) == [0, 3]
 
 
 def test_exact_shares():
@@ -73,7 +94,7 @@ def test_exact_shares():
         assert int(divergence.scaled(np.array([a]), np.array([b]))[0]) == 1 + 10**9 * a // b
 
 
-@pytest.mark.parametrize("held", [(300_000, 150_000, 1 << 22, 512, 1 << 21), (20, 10, 8, 3, 7)])
+@pytest.mark.parametrize("held", [(400_000, 2_000_000, 1 << 22, 512, 1 << 21), (20, 10, 8, 3, 7)])
 def test_against_plain(spark, held, monkeypatch):
     """Tiny limits make every task write its tries out, cut texts, pieces and blocks many times."""
     for name, n in zip(("HELD", "LOOSE", "CUT", "PIECE", "BLOCK"), held):

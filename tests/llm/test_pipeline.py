@@ -1,6 +1,9 @@
 from array import array
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
+from concordat.llm import queries
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -12,11 +15,13 @@ def test_stages_by_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
+    before = []
 
     def run(name):
         nonlocal docs
         from concordat.llm.shared import written
 
+        before.append(docs)
         docs = written(dict(corpus_pipeline.STAGES)[name](spark, docs, sf), name)
         return docs
 
@@ -31,6 +36,7 @@ def test_stages_by_brute_force(spark):
     near = sorted(set(kept) - brute_later(kept, roots, rows))
     assert len(near) < len(kept) and sorted(r.doc_id for r in run("near").collect()) == near
     assert {r.doc_id for r in run("mix").collect()} == set(near)
+    assert Counter(r.doc_id for r in docs.collect()) == readings(before[-1].toPandas())
     assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
     own = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
     for r in run("encode").collect():
@@ -38,6 +44,13 @@ def test_stages_by_brute_force(spark):
         assert r.n_tokens == len(ids) and bytes(r.ids) == array("I", ids).tobytes()
 
 
+def readings(documents):
+    """How often the mix reads each document, by SQL over the table that the stage was given."""
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        return dict(con.execute(f"select doc_id, count(*) from ({queries.ORACLE_SQL['op3_temperature_mix']}) group by 1").fetchall())
+
+
 def brute_later(kept, roots, rows):
     """Documents that follow another of those they reach by exact links within a component of fingerprints."""
     groups = {}
