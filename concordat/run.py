@@ -23,7 +23,7 @@ LABELS = ("paper_id", "source_unit_id", "pipeline", "species", "cell_system", "h
 def source_rows(spark: SparkSession, row: dict[str, str], base: str) -> DataFrame:
     """One contrast's table as rows with its catalog labels."""
     path = row["source_path"] if os.path.isabs(row["source_path"]) or "://" in row["source_path"] else os.path.join(base, row["source_path"])
-    table = read_table(spark, path, row["sep"], row["sheet_name"] or None)
+    table = read_table(spark, path, row["sep"], row["sheet_name"] or None, order=True)
     if row["gene_type_column"]:
         table = filter_entity_type(table, row["gene_type_column"], row["gene_type_keep"])
     name = lambda c: resolved(table, row[c]) if row[c] else None

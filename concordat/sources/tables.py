@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from concordat.operators.inspection import linked_files
+from concordat.sources import quoted
 from concordat.sources.ooxml import read_sheets
 
 # Words for delimiters.
@@ -43,17 +42,11 @@ def restored_labels(columns: list[str]) -> list[str]:
     return out
 
 
-def _first_lines(spark: SparkSession, path: str, mark: str) -> list[list[str]]:
-    """The cells of a table's header and of its first row."""
-    lines = [r.value for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect()]
-    return list(csv.reader([x.lstrip("\ufeff") for x in lines], delimiter=mark))
-
-
-def read_table(spark: SparkSession, path: str, sep: str | None = None, sheet: str | int | None = None) -> DataFrame:
-    """A delimited table (plain or gzip) or a workbook's sheet as text columns.
+def read_table(spark: SparkSession, path: str, sep: str | None = None, sheet: str | int | None = None, *, order: bool = False) -> DataFrame:
+    """A delimited table (plain or gzip) or a workbook's sheet as text columns. Quoted cells may hold line breaks.
 
     A header one field short of its rows lacks the name of row labels, which come first. A table whose one column shows
-    another delimiter is refused.
+    another delimiter is refused. order: see read_after_header.
     """
     if path.lower().endswith(".xlsx"):
         return read_sheet(spark, path, sheet)
@@ -65,15 +58,7 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, sheet: st
         body = lines.select(names.alias("n")).filter(F.col("n") != F.array(*map(F.lit, head.n)))
         columns = restored_labels([""] * (first is not None and first.k == head.k + 1) + head.n)
         return body.select(*[F.get("n", F.lit(k)).alias(c) for k, c in enumerate(columns)])
-    head, *rest = _first_lines(spark, path, mark)
-    if len(head) == 1:
-        for other in "\t,;|":
-            if other != mark and len([x for x in head[0].split(other) if x.strip()]) >= 3:
-                raise ValueError(f"{path} has one column by {mark!r}, but its header splits by {other!r}")
-    short = bool(rest) and len(rest[0]) == len(head) + 1
-    columns = restored_labels([""] * short + head)
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, sep=mark, header=True)  # by position; the header line is passed over
+    return read_after_header(spark, path, 1, sep, order=order)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
@@ -97,16 +82,35 @@ def resolved(table: DataFrame, column: str) -> str:
     return column
 
 
-def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str | None = None) -> DataFrame:
-    """One file's table whose header stands on the given line (from 1): earlier lines are dropped by their place in the file."""
+def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str | None = None, *, order: bool = False) -> DataFrame:
+    """A delimited table whose header stands on the given line (from 1), as text columns; lines before it are dropped.
+
+    Plain files are read in splits (see quoted.py), gzip files one to a task. order: add source_order, which follows the
+    files by name and the lines of a file (plain files without such a column only).
+    """
     mark = separator(sep, path)
-    if len(spark.read.text(path).inputFiles()) > 1:
-        raise ValueError(f"{path} is several files: lines are counted in one")
-    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("at"))
-    numbered = lines.filter(F.col("at") >= header_row - 1)  # the first file part counts from 0
-    head = numbered.orderBy("at").first()["value"].split(mark)
-    cells = F.split("value", F.lit(mark.replace("|", r"\|")))
-    return numbered.filter(F.col("at") > header_row - 1).select(*[F.get(cells, F.lit(k)).alias(c) for k, c in enumerate(restored_labels(head))])
+    if path.lower().endswith(".gz"):
+        if header_row != 1:
+            raise ValueError(f"{path} is compressed, so its lines have no number; unpack it first")
+        zipped = spark.read.csv(path, sep=mark, escape='"', multiLine=True, header=False).first()
+        head = ["" if x is None else x for x in zipped] if zipped else []
+        columns = restored_labels(_checked(head, mark, path))
+        return spark.read.schema(StructType([StructField(c, StringType()) for c in columns])).csv(path, sep=mark, escape='"', multiLine=True, header=True)
+    found = quoted.Table(spark, path, mark, header_row)
+    head = _checked(found.header, mark, path)
+    short = found.sample is not None and len(found.sample) == len(head) + 1
+    columns = restored_labels([""] * short + head)
+    if order and "source_order" not in columns:
+        return found.rows(columns)
+    return found.rows(columns, "__order").drop("__order")
+
+
+def _checked(head: list[str], mark: str, path: str) -> list[str]:
+    if len(head) == 1:
+        for other in "\t,;|":
+            if other != mark and len([x for x in head[0].split(other) if x.strip()]) >= 3:
+                raise ValueError(f"{path} has one column by {mark!r}, but its header splits by {other!r}")
+    return head
 
 
 def read_harmonized(spark: SparkSession, path: str) -> DataFrame:

@@ -266,7 +266,13 @@ def test_inspection(spark):
     known, unknown = inspection.inspect_matrix(stats).first(), inspection.inspect_matrix(stats, F.lit(True)).first()
     assert known.status == "upstream_matrix_ready_for_contrast" and known.sample_columns == ["ctrl1", "ctrl2", "ko1", "ko2"] and unknown.sample_columns == [] and unknown.statistic_columns == ["padj"]
     table = spark.createDataFrame([("A", "1", "0.1", "x", 1), ("A", "2", "0.2", "x", 2), ("B", "3", "1.5", "x", 3), ("C", "4", "0.3", "y", 4), ("", "4", "0.3", "x", 5)], "g string, l string, p string, kind string, source_order int")
-    assert [tuple(r) for r in inspection.author_rows(table, "g", "l", "p", {"kind": "x"}).collect()] == [("A", 1.0, 0.1)]
+    table = table.unionByName(spark.createDataFrame([("D", " 5 ", "1", "x", 6)], table.schema)).withColumn("q", F.lit("0.5"))
+    every = inspection.author_rows(table, "g", "l", "p", "q", {"kind": "x"})
+    assert sorted(tuple(r) for r in every.collect()) == [("A", 1.0, 0.1, 0.5), ("A", 2.0, 0.2, 0.5), ("D", 5.0, 1.0, 0.5)]
+    first = inspection.author_rows(table, "g", "l", "p", filters={"kind": "x"}, first=F.col("source_order"))
+    assert sorted(tuple(r) for r in first.collect()) == [("A", 1.0, 0.1, None), ("D", 5.0, 1.0, None)]
+    with pytest.raises(ValueError, match="fewer than two"):
+        inspection.author_rows(table, "g", "l", "p", filters={"kind": "y"})
 
 
 def test_soft_summary_and_links(spark):
