@@ -114,10 +114,10 @@ def identifier_overlap(harmonized: DataFrame) -> DataFrame:
     return out.withColumn("suspicious", F.col("best_overlap") < 0.01 * F.col("n_entities"))
 
 
-def in_all_units(harmonized: DataFrame) -> DataFrame:
-    """Entities that every unit reports."""
-    n = harmonized.agg(F.count_distinct("source_unit_id").alias("n")).scalar()
-    return harmonized.groupBy("gene_symbol").agg(F.count_distinct("source_unit_id").alias("units")).filter(F.col("units") == n)
+def in_all_units(harmonized: DataFrame, unit: str = "source_unit_id") -> DataFrame:
+    """Entities that every unit reports; unit may name a coarser column."""
+    n = harmonized.agg(F.count_distinct(unit).alias("n")).scalar()
+    return harmonized.groupBy("gene_symbol").agg(F.count_distinct(unit).alias("units")).filter(F.col("units") == n)
 
 
 def has_listed_sources(evidence: DataFrame) -> DataFrame:

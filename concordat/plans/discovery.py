@@ -189,10 +189,10 @@ _STATUSES = ("ready_for_review", "candidate_header", "not_deg_table", "requires_
 
 
 @query(f"""select 'Human_GSE' || l_orderkey || '_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as study_id, 'PMID:' || l_orderkey as source_unit_id, 'http://h/' || l_orderkey || '/' || pos as source_url, 'no' as include_in_analysis
-from (select *, row_number() over (order by l_orderkey, pos) as n, ({_list(_STATUSES)})[(l_orderkey + pos) % {len(_STATUSES)} + 1] as status from (select l_orderkey, unnest(range(1, count(*) + 1)) as pos from lineitem where l_orderkey <= 500 group by 1)) where status in {records.REVIEWABLE}""")
+from (select *, row_number() over (order by l_orderkey, pos) as n, ({_list(_STATUSES)})[(l_orderkey + pos) % {len(_STATUSES)} + 1] as status from (select l_orderkey, unnest(range(1, count(*) + 1)) as pos from lineitem group by 1)) where status in {records.REVIEWABLE}""")
 def draft_catalog(spark, sf):
-    """Orders up to 500 as studies: a catalog is a small table by nature, and its numbers have three digits or more."""
-    each = table(spark, sf, "lineitem").filter("l_orderkey <= 500").groupBy("l_orderkey").agg(F.count("*").alias("m"))
+    """Orders as studies and their lines as files: the numbers of a draft count all files and have three digits or more."""
+    each = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("m"))
     k = F.col("l_orderkey")
     blank = [F.lit("x").alias(c) for c in ("gene", "lfc", "p", "padj")]
     files = F.transform(F.sequence(F.lit(1).cast("bigint"), "m"), lambda at: F.struct(F.lit("a.csv").alias("name"), F.concat(F.lit("http://h/"), k.cast("string"), F.lit("/"), at.cast("string")).alias("source_url"), F.struct(_pick(_STATUSES, (k + at) % len(_STATUSES)).alias("status"), *blank).alias("inspection")))
@@ -293,11 +293,16 @@ def _table_lines(spark: SparkSession, sf: str, head: Column, cells: Column) -> D
 @query(f"""select t as "table", case when n >= 2 and lfc >= 0.5 and p >= 0.5 then 'ready_for_review' else 'candidate_header' end as status, 2 as header_row, round_even(lfc * 1000, 0) / 1000 as lfc_numeric_fraction, round_even(p * 1000, 0) / 1000 as p_unit_interval_fraction, n as sample_rows
 from (select t, count(*) as n, coalesce(count(*) filter (not {_BAD.format(x='t')} ) / nullif(count(*), 0), 0) as lfc, count(*) filter (p <= 1) / count(*) as p from (select * from ({_ROWS}) where r <= 20) group by 1)""")
 def inspected_rows(spark, sf):
+    found = inspection.inspect_rows(inspected_text_rows(spark, sf))
+    return found.select("table", "status", "header_row", "lfc_numeric_fraction", "p_unit_interval_fraction", F.col("sample_rows").cast("bigint").alias("sample_rows"))
+
+
+def inspected_text_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(table, line, cells): an order's lines as an author's table."""
     k = F.col("l_orderkey")
     lfc = F.when((k % 3 == 0) & (F.col("l_linenumber") % 2 == 0), "none given").otherwise(F.col("l_discount").cast("string"))
     head = F.array(F.lit("gene"), F.lit("log2FoldChange"), F.lit("pvalue"))
-    found = inspection.inspect_rows(_table_lines(spark, sf, head, F.array(F.concat(F.lit("G"), F.col("l_partkey").cast("string")), lfc, (F.col("l_tax") * 20).cast("string"))))
-    return found.select("table", "status", "header_row", "lfc_numeric_fraction", "p_unit_interval_fraction", F.col("sample_rows").cast("bigint").alias("sample_rows"))
+    return _table_lines(spark, sf, head, F.array(F.concat(F.lit("G"), F.col("l_partkey").cast("string")), lfc, (F.col("l_tax") * 20).cast("string")))
 
 
 @query(f"""select t as "table", 2 as header_row, case when n >= 2 and t % 4 > 0 then 'upstream_matrix_ready_for_contrast' else 'not_upstream_matrix' end as status, case when t % 4 = 0 then 'ctrl_1;ctrl_2;treated_1' else 'ctrl_1;ctrl_2;treated_1;wt' end as sample_columns, n as sample_rows

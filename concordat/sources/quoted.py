@@ -158,8 +158,8 @@ def _began(listed: DataFrame, mark: str, length: int) -> DataFrame:
         return splits[["path", "offset", "length"]].assign(state=states, line=lines)
 
     alone = cut.filter(F.col("size") <= length).select("path", "offset", "length", F.lit(RECORD_START).alias("state"), F.lit(1).cast("bigint").alias("line"))
-    several = cut.filter(F.col("size") > length).select("path", "offset", "length").repartition("path", "offset")
-    told = several.mapInArrow(count, f"{kind}, leads array<int>, lines bigint")
+    several = settled(cut.filter(F.col("size") > length).select("path", "offset", "length"))
+    told = ranges.dealt(several, "length", "path", "offset").mapInArrow(count, f"{kind}, leads array<int>, lines bigint")
     return alone.union(told.groupBy("path").applyInPandas(compose, f"{kind}, state int, line bigint"))
 
 
@@ -195,8 +195,7 @@ def records(spark: SparkSession, path: str | list[str], mark: str = ",", length:
     """(path, line: where the record begins, from 1, cells) of delimited files."""
     if len(mark.encode()) != 1:
         raise ValueError(f"the delimiter {mark!r} isn't one byte")
-    # Splits are dealt by hash, since the listing puts neighbours together.
-    return _parse(settled(_began(ranges.files(spark, path), mark, length)).repartition("path", "offset"), mark).drop("file")
+    return _parse(ranges.dealt(settled(_began(ranges.files(spark, path), mark, length)), "length", "path", "offset"), mark).drop("file")
 
 
 def _first(found: DataFrame) -> DataFrame:
@@ -218,7 +217,7 @@ class Table:
         top = _parse(self._began.filter(F.col("line") <= header_row), mark).filter(F.col("line") >= header_row)
         self._heads = settled(_first(top))
         if self._heads.count() < self._began.select("path").distinct().count():
-            top = _parse(self._began.repartition("path", "offset"), mark).filter(F.col("line") >= header_row)
+            top = _parse(ranges.dealt(self._began, "length", "path", "offset"), mark).filter(F.col("line") >= header_row)
             self._heads = settled(_first(top))
         first = self._heads.orderBy("path").first()
         self.header: list[str] = [x or "" for x in first.cells] if first else []
@@ -230,6 +229,6 @@ class Table:
         """The records below the headers as text columns, and a number that follows files by name and lines in a file."""
         # One row for each file. Lines up to the header are left out in parsing, so no filter of a reader meets them.
         heads = self._heads.select("path", F.col("line").alias("above"), F.row_number().over(Window.orderBy("path")).cast("bigint").alias("file"))
-        below = _parse(self._began.join(heads, "path").repartition("path", "offset"), self._mark)
+        below = _parse(ranges.dealt(settled(self._began.join(heads, "path")), "length", "path", "offset"), self._mark)
         place = (F.col("file") * (1 << 40) + F.col("line")).alias(order)
         return below.select(*[F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(columns)], place)

@@ -8,24 +8,6 @@ import zipfile
 import pytest
 from concordat import cli, run
 from concordat.server import http, jobs
-from concordat.sources import archive
-
-
-def packed(files):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
-        for name, data in files.items():
-            book.writestr(name, data)
-    return out.getvalue()
-
-
-def test_archives(spark, tmp_path):
-    inner = packed({"deep_counts.txt": "x", "more.zip": packed({"y.zip": packed({})})})
-    (tmp_path / "a.zip").write_bytes(packed({"x_deseq2.csv": "gene", "in.zip": inner, "../bad.csv": "z", "/abs.csv": "z"}))
-    got = {r.member: r for r in archive.scan(spark, str(tmp_path)).collect()}
-    assert bytes(got["x_deseq2.csv"].content) == b"gene" and got["x_deseq2.csv"].kind.tier == "strong"
-    assert got["in.zip!deep_counts.txt"].depth == 2 and got["../bad.csv"].problem == got["/abs.csv"].problem == "leaves the archive"
-    assert got["in.zip!more.zip"].problem == "nested too deep"
 
 
 def test_jobs(tmp_path):
