@@ -17,6 +17,9 @@ n_tokens take the place of columns with these names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from concordat.llm import bpe, exact_stream, langid, mixing, queries, simhash
 from concordat.llm.shared import scratch
@@ -29,6 +32,22 @@ NEAR_RADIUS = 6
 NEAR_SIMILARITY = 0.8
 
 
+#: What a Python worker takes at once: whole texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage under BATCH. Its result runs later, so the session keeps these limits."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, queries.language_evidence(spark, sf_dir), queries.LANGUAGES)
 
@@ -54,27 +73,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 
-STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
+STAGES = [(f.__name__, _bounded(f)) for f in (language, exact, near, mix, encode)]
 #: The language model, the fingerprints and the token ids can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-#: Rows that a Python worker takes at once; whole texts may be long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = {k: spark.conf.get(k) for k in BATCH}
-    try:
-        for k, v in BATCH.items():
-            spark.conf.set(k, v)
-        for name, stage in STAGES:
-            path = scratch(spark, f"pipeline-{name}")
-            stage(spark, docs, sf_dir).write.parquet(path)
-            docs = spark.read.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
