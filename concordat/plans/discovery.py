@@ -5,13 +5,16 @@ Records are made of the TPC-H-like tables; the SQL restates each rule over the s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators import classify, inspection, linkage, records
+from concordat.operators import classify, inspection, linkage, pages, records
 from concordat.plans.bridge import table
 from concordat.plans.queries import query
 from concordat.sources import tables
+from concordat.store import shared_folder
 
 WORDS = (
     "gene", "Gene.Symbol", "ensembl_id", "probe_set", "log2FoldChange", "logFC", "fold_change", "beta", "pvalue", "P.Value", "p", "padj", "FDR",
@@ -142,10 +145,25 @@ def series_order(spark, sf):
     return records.series_order(rows, "v", descending=True, relevance="r", key="o_orderkey").select("o_orderkey", "rank")
 
 
-@query("select p_partkey, row_number() over (order by lower(p_name) desc, p_partkey)::int as rank from part order by rank limit 20 offset 40")
-def publication_page(spark, sf):
+_PAGE = "select p_partkey, row_number() over (order by lower(p_name) desc, p_partkey)::int as rank from part order by rank limit 20 offset 40"
+
+
+def _ranked_parts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), *[F.lit(None).cast("int").alias(c) for c in ("priority", "relevance_rank", "year")])
-    return records.page(classify.publication_rank(rows, "title", descending=True), 3, 20)[0].select("p_partkey", "rank")
+    return classify.publication_rank(rows, "title", descending=True).select("p_partkey", "rank")
+
+
+@query(_PAGE)
+def publication_page(spark, sf):
+    return records.page(_ranked_parts(spark, sf), 3, 20)[0]
+
+
+@query(_PAGE)
+def indexed_page(spark, sf):
+    """The same page by an index: the ranked table is written once, and a page opens the one or two files that hold it."""
+    path = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}"
+    pages.build(_ranked_parts(spark, sf), path, rows=50)
+    return pages.Index(spark, path).page(3, 20)[0]
 
 
 def _candidates(k: Column) -> Column:
