@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.llm.shared import FILE, ROW, carried, located, whole, written
+from concordat.llm.shared import FILE, ROW, carried, located, only, whole, written
 
 RULE = "plain-1"
 
@@ -71,30 +71,30 @@ def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
-def _cached(spark, cache: str, version: str) -> DataFrame | None:
+def _cached(seen: DataFrame, cache: str, version: str) -> DataFrame:
+    """(digest, n_tokens) that the cache holds of the digests seen; of a cache that has more only these move."""
     try:
-        held = spark.read.schema("digest binary, n_tokens bigint").parquet(f"{cache}/version={version}")
+        held = seen.sparkSession.read.schema("digest binary, n_tokens bigint").parquet(f"{cache}/version={version}")
     except AnalysisException:
-        return None
-    return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have added the same text
+        return seen.sparkSession.createDataFrame([], "digest binary, n_tokens bigint")
+    ours = held.join(seen.select("digest"), "digest", "left_semi")
+    return ours.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have added the same text
 
 
 def digest_of(body: Column) -> Column:
     return F.unhex(F.sha2(body, 256))
 
 
-def _missing(here: DataFrame, body: Column, held: DataFrame | None) -> DataFrame:
-    """(FILE, ROW, digest): one place of each digest that the cache hasn't."""
+def _seen(here: DataFrame, body: Column) -> DataFrame:
+    """(digest, FILE, ROW): one place of each distinct text, a written table."""
     found = here.select(digest_of(body).alias("digest"), F.struct(FILE, ROW).alias("place")).groupBy("digest").agg(F.min("place").alias("place"))
-    return (found if held is None else found.join(held, "digest", "left_anti")).select(f"place.{FILE}", f"place.{ROW}", "digest")
+    return written(found.select("digest", f"place.{FILE}", f"place.{ROW}"), "digests")
 
 
-def add_misses(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text", normalise: Callable[[Column], Column] = lambda x: x) -> str:
-    """Encodes the distinct texts of docs that the cache misses and appends their counts; returns the version."""
-    spark, version = docs.sparkSession, version_of(tokenizer)
-    here, body = located(docs), normalise(whole(text))
-    missing = written(_missing(here, body, _cached(spark, cache, version)), "missing")
-    texts = here.select(FILE, ROW, body.alias("body")).join(missing, [FILE, ROW]).select("digest", "body")
+def _add_misses(here: DataFrame, seen: DataFrame, body: Column, tokenizer: str, cache: str, version: str) -> None:
+    """Encodes the texts whose digests the cache misses, each at its one place, and appends their counts."""
+    missing = seen.join(_cached(seen, cache, version), "digest", "left_anti")
+    texts = only(here, missing).select(digest_of(body).alias("digest"), body.alias("body"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
@@ -104,14 +104,15 @@ def add_misses(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     texts.mapInArrow(encode, "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/version={version}")
-    return version
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), normalise: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Each row of docs: (*carry, digest, n_bytes, n_tokens), through the cache at the path cache."""
-    version = add_misses(docs, tokenizer, cache, text=text, normalise=normalise)
-    body, carry = normalise(whole(text)), carried(carry, "digest", "n_bytes", "n_tokens")
-    rows = docs.select(*carry, digest_of(body).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
+    version, here, body = version_of(tokenizer), located(docs), normalise(whole(text))
+    seen = _seen(here, body)
+    _add_misses(here, seen, body, tokenizer, cache, version)
+    carry = carried(carry, "digest", "n_bytes", "n_tokens")
+    rows = here.select(*carry, digest_of(body).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
     # As a written table the counts' size is known: Spark broadcasts them where they are few, else it may split a hot digest.
-    counts = written(_cached(docs.sparkSession, cache, version), "counts")
+    counts = written(_cached(seen, cache, version), "counts")
     return rows.join(counts, "digest", "left").select(*carry, "digest", "n_bytes", "n_tokens")
