@@ -102,16 +102,19 @@ def log_factorials(n: int) -> list[float]:
 def log_beta_cdf(x: Column, k: Column, n: int) -> Column:
     """ln of the Beta(k, n - k + 1) distribution at x in (0, 1]: the chance that k or more of n uniforms lie below x.
 
-    The binomial tail is summed in logs from its largest term, so it doesn't underflow.
+    The binomial tail is summed in logs from its largest term, which stands at the mode or at k, so it doesn't underflow.
+    What the sum's terms share is bound by a lambda: inside one, Spark computes an expression anew for each element.
     """
     facts = F.array(*map(F.lit, log_factorials(n)))
     at = lambda j: F.element_at(facts, j.cast("int") + 1)
-    lx, ly = F.log(x), F.log1p(-x)
     # At x = 1 ly is minus infinity; that case is taken out below.
-    terms = F.transform(F.sequence(k.cast("int"), F.lit(n)), lambda j: at(F.lit(n)) - at(j) - at(F.lit(n) - j) + j * lx + F.when(j == n, 0.0).otherwise((F.lit(n) - j) * ly))
-    top = F.array_max(terms)
-    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.exp(t - top))
-    return F.when(x >= 1, F.lit(0.0)).otherwise(F.least(F.lit(0.0), top + F.log(total)))
+    term = lambda j, lx, ly: at(F.lit(n)) - at(j) - at(F.lit(n) - j) + j * lx + F.when(j == n, 0.0).otherwise((F.lit(n) - j) * ly)
+    mode = F.least(F.lit(n), F.greatest(k.cast("int"), F.floor((n + 1) * x).cast("int")))
+    logs = F.array(F.struct(F.log(x).alias("lx"), F.log1p(-x).alias("ly"), mode.alias("mode")))
+    tops = F.transform(logs, lambda v: F.struct(v["lx"].alias("lx"), v["ly"].alias("ly"), term(v["mode"], v["lx"], v["ly"]).alias("top")))
+    tail = F.sequence(k.cast("int"), F.lit(n))
+    sums = F.transform(tops, lambda v: v["top"] + F.log(F.aggregate(tail, F.lit(0.0), lambda s, j: s + F.exp(term(j, v["lx"], v["ly"]) - v["top"]))))
+    return F.when(x >= 1, F.lit(0.0)).otherwise(F.least(F.lit(0.0), F.element_at(sums, 1)))
 
 
 @lru_cache(maxsize=4096)
