@@ -111,14 +111,16 @@ def readiness(decision: Column, file: Column, has_accession: Column, tier: Colum
     return F.struct(new_tier.alias("tier"), priority.alias("priority"), new_state.alias("verification_state"), _sorted(F.array_append(basis0, reason)).alias("basis"))
 
 
-def merged_readiness(members: DataFrame, merged: DataFrame, component: str = "component", ready: str = "data_readiness") -> DataFrame:
+def merged_readiness(members: DataFrame, merged: DataFrame, component: str = "component", ready: str = "data_readiness", order: str = "position") -> DataFrame:
     """(component, data_readiness): the readiness of least priority among a component's members and the merged record.
 
-    Reasons are united. A merged record that mixes species is quarantined whatever its members were.
+    Of equal ones that of the first member counts, by the column order of members, and the merged record comes last. Reasons
+    are united. A merged record that mixes species is quarantined whatever its members were.
     """
-    both = members.select(component, F.col(ready).alias("r"), F.lit(0).alias("own")).unionByName(merged.select(component, F.col(ready).alias("r"), F.lit(1).alias("own")))
+    last = F.lit(None).cast(members.schema[order].dataType).alias("order")
+    both = members.select(component, F.col(ready).alias("r"), F.lit(0).alias("own"), F.col(order).alias("order")).unionByName(merged.select(component, F.col(ready).alias("r"), F.lit(1).alias("own"), last))
     best = both.groupBy(component).agg(
-        F.min_by("r", F.struct("r.priority", "own", "r.tier", "r.verification_state")).alias("best"),
+        F.min_by("r", F.struct("r.priority", "own", "order")).alias("best"),
         _sorted(F.flatten(F.collect_set("r.basis"))).alias("basis"),
         F.max_by("r", "own").alias("whole"),
     )

@@ -113,7 +113,8 @@ def score(harmonized: DataFrame, least: int = 2, ablation: Ablation | None = Non
     }).drop("direction_confidence_index_agreed", "direction_confidence_index_all")
     found = lanes.random_effects(found)
     found = found.join(lanes.rank_aggregation(rows, n_units, least), "gene_symbol", "left").join(lanes.effect_meta(rows, n_units, least), "gene_symbol", "left")
-    found = global_rank(found, F.col("priority_score"), [F.desc("n_source_units"), F.desc("direction_confidence_index"), F.col("gene_symbol")], "priority_rank", descending=True)
+    # A ranking reads its rows twice (their order is sampled first), so what is dear to compute is written before.
+    found = global_rank(settled(found), F.col("priority_score"), [F.desc("n_source_units"), F.desc("direction_confidence_index"), F.col("gene_symbol")], "priority_rank", descending=True)
     found = settled(found)
     loo = stability(folds(rows, units, least), found, n_units, n)
     found = found.join(loo, "gene_symbol", "left")

@@ -10,11 +10,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators import classify, inspection, linkage, pages, records
+from concordat.operators import classify, harmonize, inspection, linkage, pages, records
 from concordat.plans.bridge import table
 from concordat.plans.queries import query
 from concordat.sources import tables
 from concordat.store import shared_folder
+from concordat.streaming import incremental
 
 WORDS = (
     "gene", "Gene.Symbol", "ensembl_id", "probe_set", "log2FoldChange", "logFC", "fold_change", "beta", "pvalue", "P.Value", "p", "padj", "FDR",
@@ -110,12 +111,12 @@ def readiness_tiers(spark, sf):
     return _decided(spark, sf).select("o_orderkey", "data_readiness.tier", "data_readiness.priority", F.array_join("data_readiness.basis", ";").alias("basis"))
 
 
-@query(f"""select o_custkey as component, case when bool_or(o_orderkey = first and tier = 'mixed_quarantined') then 'mixed_quarantined' else arg_min(tier, priority * 1000000 + case tier when 'likely' then 0 else 1 end) end as tier, array_to_string(list_sort(list_distinct(list(basis) filter (basis is not null))), ';') as basis
+@query(f"""select o_custkey as component, case when bool_or(o_orderkey = first and tier = 'mixed_quarantined') then 'mixed_quarantined' else arg_min(tier, priority * 1000000000000 + o_orderkey) end as tier, array_to_string(list_sort(list_distinct(list(basis) filter (basis is not null))), ';') as basis
 from (select *, {_PLACE} as priority, {_BASIS} as basis, min(o_orderkey) over (partition by o_custkey) as first from ({_READY})) group by 1""")
 def readiness_merged(spark, sf):
     members = _decided(spark, sf).withColumnRenamed("o_custkey", "component")
     merged = members.groupBy("component").agg(F.min_by("data_readiness", "o_orderkey").alias("data_readiness"))
-    return records.merged_readiness(members, merged).select("component", "data_readiness.tier", F.array_join("data_readiness.basis", ";").alias("basis"))
+    return records.merged_readiness(members, merged, order="o_orderkey").select("component", "data_readiness.tier", F.array_join("data_readiness.basis", ";").alias("basis"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 5 = 0 then 'a quarantined mixed record' when o_orderkey % 7 = 0 then 'a blocked mixed record' when o_orderkey % 3 = 0 and o_orderkey % 2 > 0 then 'a rescued mixed record without a verified target and textual evidence'
@@ -346,3 +347,25 @@ def publication_lookup(spark, sf):
     studies = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 > 0, F.array(F.concat(F.lit("PMID:"), F.col("o_custkey").cast("string")), F.lit("1"))).alias("pubmed_ids"))
     publications = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("pmid"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("year"))
     return records.with_publication(studies, publications).drop("pubmed_ids")
+
+
+@query(f"""select l_orderkey, array_to_string(list(n order by case split_part(c, ':', 1) when 'strong' then 0 when 'weak' then 1 when 'upstream' then 2 else 9 end, n), ';') as names
+from (select *, case {_CLASS} else 'unsupported:unsupported' end as c from (select distinct l_orderkey, 'f' || l_partkey || ({_list(NAMES)})[l_partkey % {len(NAMES)} + 1] as n from lineitem)) group by 1""")
+def file_orders(spark, sf):
+    """The files of each order, the most telling ones first."""
+    name = F.concat(F.lit("f"), F.col("l_partkey").cast("string"), _pick(NAMES, F.col("l_partkey") % len(NAMES)))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", name.alias("n")).distinct()
+    place = records.file_order(classify.filename_class(F.col("n"))["tier"], F.col("n"))
+    ordered = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(place)).alias("x"))
+    return ordered.select("l_orderkey", F.array_join(F.transform("x", lambda x: x["name"]), ";").alias("names"))
+
+
+@query("select true as applied, count(*) as rows_before, count(*) filter (lower(trim(o_orderpriority)) in ('1-urgent', '5-low')) as rows_after from orders")
+def entity_types(spark, sf):
+    return harmonize.entity_type_summary(table(spark, sf, "orders"), "o_orderpriority", " 1-URGENT|5-low ")
+
+
+@query("select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n, round_even(sum(value) * 1000, 0) / 1000 as total from events group by 1, 2")
+def event_windows(spark, sf):
+    found = incremental.event_counts(table(spark, sf, "events"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.rint(F.col("total") * 1000) / 1000).alias("total"))
