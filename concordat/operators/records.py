@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions.text import accession, doi, field, literal_map, pmid
 from concordat.operators.classify import filename_class
 from concordat.operators.ranking import global_rank
+from concordat.store import settled
 
 # Priorities of readiness states, and of file availability; places of file roles and tiers.
 READINESS = {"verified_ready": 0, "target_species_verified": 0, "mixed_rescued": 0, "likely_ready": 1, "likely": 1, "candidate": 2, "mixed_quarantined": 3, "metadata_only": 4, "unknown": 5}
@@ -294,3 +295,33 @@ def metadata_rows(values: DataFrame, column: str = "metadata") -> DataFrame:
     return values.select(F.explode(column).alias("field", "value"))
 
 
+
+
+#: Files of one study and of all studies that are inspected.
+MOST_FILES, BUDGET = 6, 40
+
+
+def inspection_budget(files: DataFrame, study: str, position: str, order: list[Column], most: int = MOST_FILES, budget: int = BUDGET) -> DataFrame:
+    """The files to inspect, with round: a fair share of a budget, filled round by round.
+
+    Within a study files stand in the given order (total), `most` at most take part. The first round takes each study's first
+    file, the second one its second, and so on; a round that the budget ends in is filled by the studies' position (unique), so
+    no study has a second file before every study has its first. Equal files of repeated rows each count.
+
+    Rounds are counted (`most` rows), and only the round in which the budget ends is ranked, in ranges of the position.
+    """
+    place = F.row_number().over(Window.partitionBy(study).orderBy(*order))
+    held = settled(files.withColumn("round", place).filter(F.col("round") <= most))
+    counts = {r["round"]: r["n"] for r in held.groupBy("round").agg(F.count("*").alias("n")).collect()}  # `most` numbers
+    left, whole, border = budget, [], None
+    for k in sorted(counts):
+        if counts[k] > left:
+            border = k
+            break
+        whole.append(k)
+        left -= counts[k]
+    chosen = held.filter(F.col("round").isin(whole))
+    if border is None or left <= 0:
+        return chosen
+    last = global_rank(held.filter(F.col("round") == border), F.col(position), [F.col(study)], "__rank").filter(F.col("__rank") <= left)
+    return chosen.unionByName(last.drop("__rank"))

@@ -369,3 +369,33 @@ def entity_types(spark, sf):
 def event_windows(spark, sf):
     found = incremental.event_counts(table(spark, sf, "events"))
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.rint(F.col("total") * 1000) / 1000).alias("total"))
+
+
+def _budget_sql(most: int, budget: str) -> str:
+    named = f"select distinct l_orderkey, 'f' || l_partkey || ({_list(NAMES)})[l_partkey % {len(NAMES)} + 1] as n from lineitem"
+    ranked = f"select *, row_number() over (partition by l_orderkey order by case split_part(c, ':', 1) when 'strong' then 0 when 'weak' then 1 when 'upstream' then 2 else 9 end, n) as round from (select *, case {_CLASS} else 'unsupported:unsupported' end as c from ({named}))"
+    return f"select l_orderkey, n as name, round::int as round from (select *, row_number() over (order by round, l_orderkey) as k from ({ranked}) where round <= {most}) where k <= {budget}"
+
+
+def _named_files(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.lit("f"), F.col("l_partkey").cast("string"), _pick(NAMES, F.col("l_partkey") % len(NAMES)))
+    return table(spark, sf, "lineitem").select("l_orderkey", name.alias("n")).distinct()
+
+
+def _order_of_files() -> list[Column]:
+    return [records.file_order(classify.filename_class(F.col("n"))["tier"], F.col("n"))]
+
+
+@query(_budget_sql(6, "40"))
+def inspection_budget(spark, sf):
+    """Which forty files are inspected, of all orders' as studies: with many studies, the first files of the first ones."""
+    found = records.inspection_budget(_named_files(spark, sf), "l_orderkey", "l_orderkey", _order_of_files())
+    return found.select("l_orderkey", F.col("n").alias("name"), "round")
+
+
+@query(_budget_sql(6, "(select count(*) * 2 // 3 from lineitem)"))
+def inspection_shares(spark, sf):
+    """The same with a budget of two thirds of all files, which ends within a later round."""
+    budget = table(spark, sf, "lineitem").count() * 2 // 3
+    found = records.inspection_budget(_named_files(spark, sf), "l_orderkey", "l_orderkey", _order_of_files(), budget=budget)
+    return found.select("l_orderkey", F.col("n").alias("name"), "round")

@@ -56,3 +56,16 @@ def test_the_first_of_equal_records_counts(spark):
     merged = spark.createDataFrame([(1, ("likely", 1, "v", ["c"])), (2, ("verified_ready", 0, "v", ["d"]))], f"component int, data_readiness {ready}")
     got = {r.component: r.data_readiness for r in records.merged_readiness(members, merged).collect()}
     assert (got[1].tier, got[1].basis) == ("likely_ready", ["a", "b", "c"]) and got[2].tier == "verified_ready"
+
+
+def test_budgets_are_fair(spark):
+    import random
+
+    random.seed(8)
+    rows = [(s, f"{k:02d}") for s in range(20) for k in range(random.randint(0, 9))]
+    frame = spark.createDataFrame(rows, "study int, name string").repartition(5)
+    for most, budget in ((6, 40), (6, 1000), (2, 25), (6, 0), (1, 7)):
+        got = records.inspection_budget(frame, "study", "study", [F.col("name")], most, budget).collect()
+        ranked = sorted((sorted(n for t, n in rows if t == s).index(name) + 1, s, name) for s, name in rows)
+        want = [x for x in ranked if x[0] <= most][:budget]
+        assert sorted((r["round"], r.study, r.name) for r in got) == want
