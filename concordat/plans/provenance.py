@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from concordat.operators import provenance
 from concordat.plans.bridge import table
 from concordat.plans.queries import query
+from concordat.sources.snapshots import Snapshots
+from concordat.store import shared_folder
 
 KEY = "concordat"
 _COLUMNS = ("doc_id", "lang", "n_chars", "source", "text")
@@ -59,3 +63,22 @@ def reconciled_facts(spark, sf):
     direction = F.when(k % 5 == 0, "").when(k % 5 == 1, "control_minus_treatment").otherwise(" treatment_minus_control")
     facts = orders.filter(k % 3 > 0).select("study_id", control.alias("n_ctrl"), treated.alias("n_treat"), direction.alias("effect_direction"))
     return provenance.reconciled(catalog, facts)
+
+
+@query("""with good as (select doc_id from "labels" group by 1 having min(quality) = 1)
+select 1 as version, lang, count(*) as n_documents, count(l.doc_id) as n_labelled from documents d left join (select distinct doc_id from "labels") l using (doc_id) group by 2
+union all select 2, lang, count(*), count(*) from documents join good using (doc_id) group by 2""")
+def snapshot_versions(spark, sf):
+    """Two tables published together twice: each version's documents are read with its own labels."""
+    store = Snapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    first = store.commit({"documents": docs, "labels": labels})
+    good = store.read("labels", first).filter("quality = 1")
+    second = store.commit({"documents": store.read("documents", first).join(good, "doc_id", "left_semi"), "labels": good}, base=first)
+    found = []
+    for version in (first, second):
+        marked = store.read("labels", version).select("doc_id", F.lit(1).alias("there"))
+        rows = store.read("documents", version).join(marked, "doc_id", "left")
+        found.append(rows.groupBy("lang").agg(F.count("*").alias("n_documents"), F.count("there").alias("n_labelled")).withColumn("version", F.lit(version)))
+    return found[0].unionByName(found[1]).select("version", "lang", "n_documents", "n_labelled")
