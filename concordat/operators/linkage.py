@@ -103,12 +103,15 @@ def accession_owners(records: DataFrame, key: str, accessions: str, order: list[
     return each.groupBy("accession").agg(F.min_by(key, "__o").alias(key))
 
 
-def candidates(records: DataFrame, by: str, column: str = "candidates", keys: tuple[str, ...] = ("accession", "provider", "source_url", "name", "role", "record_type")) -> DataFrame:
-    """(by, *keys, other fields) of each group's candidates: those alike by their keys are one, with the first filled value of each field."""
+def candidates(records: DataFrame, by: str, order: list[Column], column: str = "candidates", keys: tuple[str, ...] = ("accession", "provider", "source_url", "name", "role", "record_type")) -> DataFrame:
+    """(by, *keys, other fields) of each group's candidates: those alike by their keys are one, with the first filled value of each field.
+
+    First is by order (total, over the records of a group), then by the place in the record's array.
+    """
     fields = [f.name for f in records.schema[column].dataType.elementType.fields]
     plain = lambda f: F.trim(F.coalesce(F.col(f"c.{f}"), F.lit("")))
     normal = {f: F.upper(plain(f)) if f == "accession" else plain(f) if f == "source_url" else F.lower(plain(f)) for f in keys}
-    each = records.select(by, F.monotonically_increasing_id().alias("r"), F.posexplode(column).alias("p", "c")).withColumns({f"k_{f}": x for f, x in normal.items()})
+    each = records.select(by, F.struct(*order).alias("r"), F.posexplode(column).alias("p", "c")).withColumns({f"k_{f}": x for f, x in normal.items()})
     place = F.struct("r", "p")
     filled = lambda f: F.min_by(F.when(plain(f) != "", F.col(f"c.{f}")), F.when(plain(f) != "", place))
     merged = each.groupBy(by, *[f"k_{f}" for f in keys]).agg(*[filled(f).alias(f) for f in fields])

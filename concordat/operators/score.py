@@ -14,7 +14,6 @@ from concordat.operators.consensus import consensus, least_units
 from concordat.operators.evidence import clipped
 from concordat.operators.ranking import global_rank
 from concordat.operators.stability import folds, stability
-from concordat.operators.units import collapse
 from concordat.store import settled
 
 

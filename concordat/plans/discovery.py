@@ -199,8 +199,8 @@ def candidate_places(spark, sf):
 def candidates_merged(spark, sf):
     k = F.col("p_partkey")
     kind = F.transform(_candidates(k), lambda c: c.withField("first_part", k.cast("string")))
-    rows = table(spark, sf, "part").select((k % 50).alias("g"), kind.alias("candidates"), k).orderBy("p_partkey")
-    merged = linkage.candidates(rows, "g", "candidates")
+    rows = table(spark, sf, "part").select((k % 50).alias("g"), kind.alias("candidates"), k)
+    merged = linkage.candidates(rows, "g", [F.col("p_partkey")])
     return merged.select("g", "accession", F.lower(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("source_url", F.lit("")).alias("source_url"), F.coalesce("role", F.lit("")).alias("role"), F.col("first_part").cast("bigint").alias("first_part"))
 
 

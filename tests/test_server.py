@@ -1,9 +1,7 @@
-import io
 import json
 import threading
 import urllib.error
 import urllib.request
-import zipfile
 
 import pytest
 from concordat import cli, run
