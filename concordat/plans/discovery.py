@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators import classify, harmonize, inspection, linkage, pages, records
+from concordat.operators import classify, harmonize, inspection, linkage, pages, records, substrings
 from concordat.plans.bridge import table
 from concordat.plans.queries import query
 from concordat.sources import tables
@@ -399,3 +399,11 @@ def inspection_shares(spark, sf):
     budget = table(spark, sf, "lineitem").count() * 2 // 3
     found = records.inspection_budget(_named_files(spark, sf), "l_orderkey", "l_orderkey", _order_of_files(), budget=budget)
     return found.select("l_orderkey", F.col("n").alias("name"), "round")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'ed wid')")
+def indexed_names(spark, sf):
+    """Parts whose name holds a text, by the index of trigrams: names that lack one of its trigrams aren't read."""
+    path = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    substrings.build(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", path)
+    return substrings.Substrings(spark, path, "p_name").search("ed wid")
