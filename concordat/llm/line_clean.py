@@ -118,14 +118,14 @@ def common_lines(docs: DataFrame, *, text: str = "text", **rules) -> DataFrame:
     """
     settings = DEFAULTS | rules
     lines = F.split(whole(text), "\n", -1)
-    each = F.transform(lines, lambda x, k: F.struct(x.alias("line"), F.get(lines, k - 1).alias("before")))
-    words = F.regexp_count("line", F.lit(WORD))
-    judged = docs.select(F.explode(each).alias("x")).select("x.*").filter(words.between(settings["common_words"], settings["notice_words"]))
-    hashed = judged.select(F.unhex(F.md5("line")).alias("line"), "before")
+    hashed = lambda c: F.unhex(F.md5(c))
     least = docs.agg(F.greatest(F.lit(float(settings["common_least"])), F.count("*") * settings["common_share"])).first()[0]  # one number
     # A line can't come after more different lines than it comes at all, so rare ones, nearly all, go before lines are paired.
-    often = written(hashed.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("line"), "frequent-lines")
-    near = hashed.join(often, "line", "left_semi").select("line", F.unhex(F.md5(F.coalesce("before", F.lit("")))).alias("before"))
+    words = F.regexp_count("line", F.lit(WORD)).between(settings["common_words"], settings["notice_words"])
+    single = docs.select(F.explode(lines).alias("line")).filter(words).groupBy(hashed(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
+    often = written(single.filter(F.col("n") >= least).select("line"), "frequent-lines")
+    each = F.transform(lines, lambda x, k: F.struct(hashed(x).alias("line"), F.get(lines, k - 1).alias("before")))
+    near = docs.select(F.explode(each).alias("x")).select("x.*").join(often, "line", "left_semi").select("line", hashed(F.coalesce("before", F.lit(""))).alias("before"))
     pairs = near.groupBy("line", "before").agg(F.count("*").alias("n"))
     found = pairs.groupBy("line").agg(F.count("*").alias("different"), F.sum("n").alias("n"))
     return found.filter((F.col("different") >= least) & (2 * F.col("different") >= F.col("n"))).select("line")
