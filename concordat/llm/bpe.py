@@ -23,7 +23,7 @@ import uuid
 from array import array
 from collections import ChainMap
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -45,6 +45,8 @@ _BLANK_RUN = regex.compile(rf"(?<!\s)\s{{{BLANKS},}}")
 STEPS_PER_E = 64
 #: Units that a worker remembers at most.
 _MEMO = 150_000
+#: Texts that a worker cuts into units at once; these are many times the size of their texts.
+_AT_ONCE = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,8 +88,8 @@ class Merges:
     """A vocabulary file's merges: encodes any text exactly and decodes ids."""
 
     def __init__(self, vocabulary: str) -> None:
-        with open(vocabulary, encoding="utf-8") as file:
-            setup = json.load(file)
+        self.vocabulary = vocabulary
+        setup = self._setup()
         model, before = setup["model"], setup.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or setup.get("normalizer"):
             raise ValueError(f"{vocabulary} isn't a plain byte-level BPE vocabulary")
@@ -100,13 +102,25 @@ class Merges:
         self.single = [ids[k] for k, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.bytes = {i: bytes(letters[c] for c in k) for k, i in ids.items() if k not in self.added}
         self.bytes |= {i: k.encode() for k, i in self.added.items()}
-        pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
-        #: left id << 32 | right id -> (rank, id of both)
-        self.pairs = {ids[a] << 32 | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        made = [i for _, i in self.pairs.values()]
+        made = [ids[a + b] for a, b in self._merged(model)]
         #: Where every merge makes a new id and ids follow ranks, a rank coder merges alike, in native code.
         self.ranked = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items() if i not in self.added.values()}, special_tokens=self.added) if made == sorted(set(made)) and max(self.single) < made[0] else None
 
+    def _setup(self) -> dict:
+        with open(self.vocabulary, encoding="utf-8") as file:
+            return json.load(file)
+
+    @staticmethod
+    def _merged(model: dict) -> Iterator[list[str]]:
+        return (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """left id << 32 | right id -> (rank, id of both); only made where there is no rank coder, as each worker would hold it."""
+        model = self._setup()["model"]
+        ids = model["vocab"]
+        return {ids[a] << 32 | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(self._merged(model))}
+
     def token(self, word: bytes) -> list[int]:
         """The ids of one pre-token: always the merge of lowest rank, the leftmost first."""
         now, pairs = [self.single[b] for b in word], self.pairs
@@ -287,7 +301,10 @@ class Coder:
         self.merges, self.lexicon = merges, lexicon
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.table = [merges.bytes.get(i, b"") for i in range(max(merges.bytes) + 1)]
+
+    @cached_property
+    def table(self) -> list[bytes]:
+        return [self.merges.bytes.get(i, b"") for i in range(max(self.merges.bytes) + 1)]
 
     def _exact(self, text: str) -> bytes:
         return array("I", self.merges.encode(text)).tobytes()
@@ -369,8 +386,8 @@ def _mapped(docs: DataFrame, vocabulary: str, lexicon: str, text: str, carry: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(vocabulary, lexicon)
         for x in batches:
-            for at in range(0, x.num_rows, 512):
-                part = x.slice(at, 512)
+            for at in range(0, x.num_rows, _AT_ONCE):
+                part = x.slice(at, _AT_ONCE)
                 ids = coder.encode(part.column(len(carry)).to_pylist())
                 out = [*part.columns[: len(carry)], pa.array(ids, pa.binary())]
                 if back:
