@@ -8,15 +8,17 @@ import pyarrow.parquet as pq
 import pytest
 from concordat.operators import evidence as ev
 from concordat.operators import inspection, lanes, score, stability
-from concordat.plans import discovery, queries  # noqa: F401
+from concordat.plans import discovery, files, queries  # noqa: F401
 from concordat.plans.queries import ORACLES, QUERIES
+from concordat.sources import paged
 from concordat.store import settled
+from pyspark.sql import functions as F
 from test_score import frame, golden
 
 
 def by_sql(folder, name):
     with duckdb.connect() as con:
-        for f in os.listdir(folder):
+        for f in (x for x in os.listdir(folder) if x.endswith(".parquet")):
             con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
         return sorted(con.execute(ORACLES[name]).fetchall(), key=str)
 
@@ -98,3 +100,23 @@ def test_inspection_joins_nothing(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     row = got.first()
     assert (row.header_row, row.status, row.sample_rows) == (2, "ready_for_review", 6)
+
+
+def test_whole_lists_are_read_in_growing_steps(spark, tmp_path, monkeypatch):
+    """A step for each two pages of 64 would start 32 streams, and count all that was read after each."""
+    calls, advance = [], paged.Scan.advance
+    monkeypatch.setattr(paged.Scan, "advance", lambda self, *a: (calls.append(a), advance(self, *a)))
+    rows = spark.range(320).select(F.col("id").alias("position"), F.concat(F.lit("GSE"), F.col("id").cast("string")).alias("accession"), F.lit("Homo sapiens").alias("taxon"), F.lit("t").alias("title"))
+    assert paged.write_pages(rows, f"{tmp_path}/pages", 5) == 64
+    got = paged.scan(spark, f"{tmp_path}/pages", 5, "Homo sapiens", step=2)
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, 321)) and len(calls) <= 7
+
+
+def test_files_of_a_round_are_taken_away(spark, sf, tmp_path, monkeypatch):
+    orders = pq.read_table(f"{sf}/lineitem.parquet").slice(0, 400)
+    pq.write_table(orders, f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(files, "ROUND", 40)
+    monkeypatch.setattr(files, "_folder", lambda spark, name: f"file:{tmp_path}/{name}")
+    got = sorted(map(tuple, QUERIES["prefix_tables"](spark, str(tmp_path)).collect()), key=str)
+    assert len(got) > 80 and got == by_sql(tmp_path, "prefix_tables")
+    assert not list(tmp_path.glob("**/*_deg.csv"))
