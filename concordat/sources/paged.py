@@ -26,8 +26,8 @@ from concordat.store import settled, shared_folder
 
 RECORD = "page bigint, position bigint, total bigint, accession string, taxon string, title string"
 FIELDS = ("accession", "taxon", "title")
-#: Pages of a micro-batch.
-STEP = 50
+#: Pages of a micro-batch, and of a task at most.
+STEP, TASK = 50, 16
 
 # Why a record is left out.
 NOT_A_SERIES, OTHER_ORGANISM, DUPLICATE = "not_a_geo_series", "mixed_or_mismatched_organism", "duplicate_exact_accession"
@@ -41,7 +41,15 @@ def page_name(number: int) -> str:
 
 @dataclass
 class Page(InputPartition):
+    """The pages of a task: `count` from number on."""
+
     number: int
+    count: int = 1
+
+
+def dealt(start: int, end: int) -> list[Page]:
+    """The pages from start on, before end, by tasks."""
+    return [Page(k, min(TASK, end - k)) for k in range(start, end, TASK)]
 
 
 class _Pages:
@@ -59,20 +67,24 @@ class _Pages:
         return n
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        with ranges.opened(f"{self.folder}/{page_name(partition.number)}") as file:
+        for number in range(partition.number, partition.number + partition.count):
+            yield from self.page(number)
+
+    def page(self, number: int) -> Iterator[pa.RecordBatch]:
+        with ranges.opened(f"{self.folder}/{page_name(number)}") as file:
             body = json.loads(file.read())
         rows = body["records"]
-        if len(rows) < min(self.size, body["total"] - partition.number * self.size):
-            raise ValueError(f"page {partition.number} is incomplete: it has {len(rows)} records")
+        if len(rows) < min(self.size, body["total"] - number * self.size):
+            raise ValueError(f"page {number} is incomplete: it has {len(rows)} records")
         text = {f: pa.array([None if r.get(f) is None else str(r[f]) for r in rows], pa.string()) for f in FIELDS}
-        place = [partition.number * self.size + k for k in range(len(rows))]
-        columns = [pa.array([partition.number] * len(rows), pa.int64()), pa.array(place, pa.int64()), pa.array([body["total"]] * len(rows), pa.int64()), *text.values()]
+        place = [number * self.size + k for k in range(len(rows))]
+        columns = [pa.array([number] * len(rows), pa.int64()), pa.array(place, pa.int64()), pa.array([body["total"]] * len(rows), pa.int64()), *text.values()]
         yield pa.RecordBatch.from_arrays(columns, ["page", "position", "total", *FIELDS])
 
 
 class PageReader(_Pages, DataSourceReader):
     def partitions(self) -> list[Page]:
-        return [Page(k) for k in range(self.available())]
+        return dealt(0, self.available())
 
 
 class PageStream(_Pages, DataSourceStreamReader):
@@ -88,7 +100,7 @@ class PageStream(_Pages, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
         self.at = max(self.at, end["page"])
-        return [Page(k) for k in range(start["page"], end["page"])]
+        return dealt(start["page"], end["page"])
 
     def commit(self, end: dict) -> None:
         self.at = max(self.at, end["page"])
@@ -130,9 +142,9 @@ class Scan:
         self.spark, self.pages, self.size, self.species, self.state, self.step = spark, pages, size, species, state, step
         spark.dataSource.register(RecordPages)
 
-    def advance(self) -> None:
+    def advance(self, step: int | None = None) -> None:
         """Reads the next `step` pages into the state."""
-        stream = self.spark.readStream.format("record_pages").option("path", self.pages).option("size", str(self.size)).option("step", str(self.step)).load()
+        stream = self.spark.readStream.format("record_pages").option("path", self.pages).option("size", str(self.size)).option("step", str(step or self.step)).load()
 
         def land(batch: DataFrame, epoch: int) -> None:
             batch.write.mode("overwrite").parquet(f"{self.state}/records/epoch={epoch}")
@@ -144,15 +156,23 @@ class Scan:
         return self.spark.read.schema(f"{RECORD}, epoch int").option("ignoreMissingFiles", "true").parquet(f"{self.state}/records").drop("epoch")
 
     def run(self, limit: int | None = None) -> DataFrame:
-        """Reads on until more than limit records qualify or the list ends; gives judged() of what was seen."""
+        """Reads on until more than limit records qualify or the list ends; gives judged() of what was seen.
+
+        With a limit each step is `step` pages, so that few are read beyond it. Without one all pages are wanted: each step
+        takes as many again as were read, so a long list takes few steps, and one that was cut off loses half at most.
+        """
         self.advance()
+        before, step = -1, self.step
         while True:
-            rows, total, good = self.seen().agg(F.count("*"), F.max("total"), F.count_distinct(F.when(self._fault() == "", F.upper("accession")))).first()
+            good = F.lit(0) if limit is None else F.count_distinct(F.when(self._fault() == "", F.upper("accession")))
+            rows, total, good = self.seen().agg(F.count("*"), F.max("total"), good).first()
             if limit is not None and good > limit or total is None or rows >= total:
                 return self.judged(limit)
-            self.advance()
-            if self.seen().count() == rows:
+            if rows == before:
                 raise ValueError(f"the list has {total} records, but its pages end after {rows}")
+            before = rows
+            self.advance(step)
+            step = step if limit is not None else 2 * step
 
     def _fault(self) -> Column:
         series = F.coalesce(F.upper("accession"), F.lit("")).rlike(r"^GSE\d+$")
